@@ -112,8 +112,13 @@ def assess(df: DataFrame, doc_id: str = "doc_id", text: str = "text", thresholds
 
 
 def clean(df: DataFrame, text: str = "text", thresholds=THRESHOLDS) -> DataFrame:
-    """The rows whose text passes the base rules and the table, with all their columns."""
-    return measured(df, text).where(~base_failed() & compile_rules(thresholds)).select(*[F.col(f"`{x}`") for x in df.columns])
+    """The rows whose text passes the base rules and the table, with all their columns.
+
+    The filter also reads a column that isn't deterministic, which keeps the
+    optimizer from pushing it below the metrics, where each would be made many times.
+    """
+    judged = measured(df, text).withColumns({_P + "kept": ~base_failed() & compile_rules(thresholds), _P + "here": F.spark_partition_id()})
+    return judged.where(F.col(_P + "kept") & (F.col(_P + "here") >= 0)).select(*[F.col(f"`{x}`") for x in df.columns])
 
 
 def oracle(thresholds=THRESHOLDS) -> str:
