@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -17,6 +18,7 @@ class Query:
 
 
 REGISTRY: dict[str, Query] = {}
+MODULES = ("clouds", "images", "replicates", "metadata", "streams")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Builder], Builder]:
@@ -31,13 +33,22 @@ def query(name: str, sql: str | None = None) -> Callable[[Builder], Builder]:
     return add
 
 
+def load() -> dict[str, Query]:
+    """The registry, with the queries of all modules."""
+    for name in MODULES:
+        importlib.import_module(f"canopy.plans.{name}")
+    return REGISTRY
+
+
 def queries() -> dict[str, Builder]:
+    load()
     return {name: q.build for name, q in REGISTRY.items()}
 
 
 def oracles() -> dict[str, str]:
+    load()
     return {name: q.sql for name, q in REGISTRY.items() if q.sql}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return REGISTRY["voxel_histogram"].build(spark, sf_dir)
+    return load()["voxel_histogram"].build(spark, sf_dir)
