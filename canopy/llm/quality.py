@@ -100,7 +100,7 @@ class ByteConv:
                     waiting = 0
         if todo:
             work()
-        yield from self.combine(total / np.maximum(count, 1)[:, None], most).tolist()
+        yield from self.combine(total / np.maximum(count, 1)[:, None], most).round(6).tolist()  # sums differ in the last digits with the batch
 
 
 def train(texts: list[str | None], labels: list[int], rounds: int = 8, rate: float = 0.01, batch: int = 32, seed: int = 5) -> ByteConv:
