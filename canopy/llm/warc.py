@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.llm.common import scratch, settle, small
+from canopy.llm.common import discard, scratch, settle, small
 from canopy.session import ship_code
 
 #: Bytes of payload after which an archive is closed.
@@ -57,13 +57,22 @@ def gzip_member(data: bytes, level: int = LEVEL) -> bytes:
 END = gzip_member(b"")
 
 
-def gunzip_members(data: bytes) -> Iterator[bytes]:
-    """The content of each gzip member.  What follows the last one and is no member is left."""
-    view = memoryview(data)
-    while len(view) > 2 and view[0] == 0x1F and view[1] == 0x8B:
-        z = zlib.decompressobj(31)
-        yield z.decompress(view) + z.flush()
-        view = view[len(view) - len(z.unused_data) :]
+def gunzip_members(data: bytes, step: int = 1 << 14) -> Iterator[bytes]:
+    """The content of each gzip member.  What follows the last one and is no member is left.
+
+    The input goes in small steps, since what a member leaves over is copied.
+    """
+    view, at = memoryview(data), 0
+    while bytes(view[at : at + 2]) == b"\x1f\x8b":
+        z, out = zlib.decompressobj(31), []
+        while not z.eof:
+            piece = view[at : at + step]
+            if not piece:
+                raise ValueError("an archive ends within a member")
+            out.append(z.decompress(piece))
+            at += len(piece)
+        at -= len(z.unused_data)
+        yield b"".join(out)
 
 
 def sha1_base32(data: bytes) -> str:
@@ -316,11 +325,13 @@ def read_warcs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def archive(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0, place: str | None = None, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Write ``pages`` as ARC files, convert these to WARC files and read them back."""
+    """Write ``pages`` as ARC files, convert these to WARC files and read them back.  Without a ``place`` the ARC files go once they are converted."""
     spark = pages.sparkSession
-    place = place or scratch(spark, "archives")
+    kept, place = place is not None, place or scratch(spark, "archives")
     write_arcs(pages, f"{place}/arc", page_id, url, html, archive_bytes)
     convert_arcs(spark, f"{place}/arc", f"{place}/warc", least_bytes)
+    if not kept:
+        discard(spark, f"{place}/arc")
     return read_warcs(spark, f"{place}/warc")
 
 
