@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: (task, upstream task) of the pipeline.
 EDGES = (
-    ("Undistorted", "ImagesFilesetExists"), ("Masks", "Undistorted"), ("Segmentation2D", "Undistorted"), ("Colmap", "ImagesFilesetExists"), ("Voxels", "Masks"), ("VoxelsWithPrior", "Voxels"), ("PointCloud", "Voxels"),
-    ("SegmentedPointCloud", "Colmap"), ("TriangleMesh", "PointCloud"), ("ClusteredMesh", "SegmentedPointCloud"), ("OrganSegmentation", "SegmentedPointCloud"), ("CurveSkeleton", "TriangleMesh"),
+    ("Undistorted", "ImagesFilesetExists"), ("Masks", "Undistorted"), ("Segmentation2D", "Undistorted"), ("StructureFromMotion", "ImagesFilesetExists"), ("Voxels", "Masks"), ("VoxelsWithPrior", "Voxels"), ("PointCloud", "Voxels"),
+    ("SegmentedPointCloud", "StructureFromMotion"), ("TriangleMesh", "PointCloud"), ("ClusteredMesh", "SegmentedPointCloud"), ("OrganSegmentation", "SegmentedPointCloud"), ("CurveSkeleton", "TriangleMesh"),
     ("RefineSkeleton", "CurveSkeleton"), ("TreeGraph", "CurveSkeleton"), ("AnglesAndInternodes", "TreeGraph"),
 )
 

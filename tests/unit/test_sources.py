@@ -106,7 +106,7 @@ def test_tasks(spark, tmp_path):
         calls.append("Doubled")
         return inputs["Numbers"].select((F.col("id") * 2).alias("id"))
 
-    config = tasks.read_config('[Numbers]\nn = 5\nquery = \'{"channel": "rgb"}\'\n[Colmap]\nintrinsic_calibration_scan_id = "c1"\nextrinsic_calibration_scan_id = ""\n')
+    config = tasks.read_config('[Numbers]\nn = 5\nquery = \'{"channel": "rgb"}\'\n[StructureFromMotion]\nintrinsic_calibration_scan_id = "c1"\nextrinsic_calibration_scan_id = ""\n')
     assert config["Numbers"]["query"] == {"channel": "rgb"} and tasks.calibration_scans(config) == ["c1"]
     store = f"file://{tmp_path}"
     assert reg.run(spark, "Doubled", config, store).count() == 5
