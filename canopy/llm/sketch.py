@@ -116,7 +116,8 @@ def runs(docs: DataFrame, doc_id: str, rows: int = RUN_ROWS, most: int = MOST_RU
         return [0]
     step = max(1, max(rows, shape["n"] // most) // 8)
     picked = ids.where(F.pmod(F.xxhash64("id"), F.lit(step)) == 0).distinct()
-    return sorted({shape["least"], *sorted(r["id"] for r in picked.collect())[7::8]})
+    found = np.sort(picked.toArrow().column(0).to_numpy())
+    return np.unique(np.append(found[7::8], shape["least"])).tolist()
 
 
 def with_successor(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
