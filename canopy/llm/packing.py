@@ -58,7 +58,9 @@ def cut_points(ids: np.ndarray, ends: np.ndarray, stops: np.ndarray) -> tuple[np
     gaps = np.diff(at)
     wide = np.flatnonzero(gaps > GRID)
     if len(wide):
-        inner = np.concatenate([np.arange(at[i] + GRID, at[i + 1], GRID) for i in wide])
+        more = (gaps[wide] - 1) // GRID  # points to put into each gap
+        step = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more) + 1
+        inner = np.repeat(at[wide], more) + GRID * step
         cost[inner] = CUT_COST
         at = np.flatnonzero(cost >= 0)
     return at, cost[at]

@@ -19,10 +19,11 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import accumulate, chain
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,8 +32,8 @@ from pyspark.sql import types as T
 from canopy.session import ship_code
 
 TOKENIZER = "word_bpe_49k.json"
-#: Distinct words kept in a worker.
-KEPT_WORDS = 300_000
+#: Distinct words kept in a worker since it last put its table aside; as many again are in the table put aside.
+KEPT_WORDS = 400_000
 #: Characters encoded at a time; a longer text is cut at a space.
 PART = 1 << 20
 
@@ -40,6 +41,7 @@ PART = 1 << 20
 _ODD = re.compile("[\x1c-\x1f]")
 #: Marks that stand alone after a word of letters.
 _MARKS = ".,;:!?"
+_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+").fullmatch
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -57,12 +59,20 @@ def words_are_separate(spec: dict) -> bool:
     plain = [s for s in steps if s["type"] in ("NFC", "Lowercase") or s == {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}]
     splits = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
     first = splits[0] if splits else {}
-    drops = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True and "\\s" in first["pattern"].get("Regex", "")
+    pattern = first.get("pattern", {}).get("Regex", "")
+    drops = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True and "[^\\s" in pattern and "[\\p{L}]+" in pattern
     rest = all(s["type"] == "ByteLevel" and not s["use_regex"] and not s["add_prefix_space"] for s in splits[1:])
     added = all(not (x["lstrip"] or x["rstrip"] or re.search(r"\s", x["content"])) for x in spec.get("added_tokens", []))
     return len(plain) == len(steps) and drops and rest and added and spec.get("post_processor") is None
 
 
+def byte_letters() -> list[str]:
+    """The characters that stand for the bytes 0 to 255 in byte-level vocabularies: printable ones for themselves, the others for 256 and up."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
+
+
 class Encoder:
     """Ids of texts, without special tokens added."""
 
@@ -75,31 +85,64 @@ class Encoder:
             self.by_word = words_are_separate(json.load(f))
         self.kept_words = kept_words
         self.known: dict[str, bytes] = {}
+        self.aside: dict[str, bytes] = {}
         self.marks = {m: self._ids([m])[0] for m in _MARKS}
+        self.model = self.tokenizer.model
+        self.bytes = dict(enumerate(byte_letters()))
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _letters(self, word: str) -> bytes:
+        """The ids of a word of lower-case Latin letters, which the rules before the model leave whole and as it is."""
+        own = word if word.isascii() else word.encode().decode("latin-1").translate(self.bytes)
+        return array("I", [t.id for t in self.model.tokenize(own)]).tobytes()
 
-    def _learn(self, new: Iterable[str]) -> None:
-        """Encode unknown words.  A word of Latin letters and one mark is its letters and the mark, for every split pattern that keeps letters apart from marks."""
-        forms: dict[str, tuple[str, bytes]] = {}
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: set[str]) -> None:
+        """Encode unknown words.  A word of Latin letters and one mark is its letters and the mark, since the split pattern keeps letters apart from marks."""
+        known, aside, marks = self.known, self.aside, self.marks
+        if len(known) + len(new) > self.kept_words:
+            self.aside, self.known = known, {}
+            known, aside = self.known, known
+        todo: dict[str, None] = {}
+        forms: list[tuple[str, str]] = []
         for w in new:
+            ids = aside.get(w)
+            if ids is not None:
+                known[w] = ids
+                continue
             z = w.lower() if w.isascii() else w
-            stem = z[:-1]
-            forms[w] = (stem, self.marks[z[-1]]) if z[-1] in self.marks and stem.isalpha() and max(stem) < "ɐ" else (z, b"")
-        todo = [s for s in {s for s, _ in forms.values()} if s not in self.known]
-        self.known.update(zip(todo, self._ids(todo), strict=True))
-        for w, (s, mark) in forms.items():
-            self.known[w] = self.known[s] + mark
+            mark = marks.get(z[-1], b"")
+            stem = z[:-1] if mark else z
+            if _LATIN(stem):
+                stem = stem.lower()
+                ids = known.get(stem)
+                if ids is None:
+                    ids = aside.get(stem)
+                if ids is None and _LATIN(stem):
+                    ids = known[stem] = self._letters(stem)
+                if ids is not None:
+                    known[w] = ids + mark
+                    continue
+            todo[z] = None
+            forms.append((w, z))
+        names = list(todo)
+        known.update(zip(names, self._ids(names), strict=True))
+        for w, z in forms:
+            known[w] = known[z]
 
     def _joined(self, lists: list[list[str]]) -> list[bytes]:
-        new = set().union(*lists) - self.known.keys()
-        if len(self.known) + len(new) > self.kept_words:
-            self.known.clear()
-            new = set().union(*lists)
-        self._learn(new)
-        get = self.known.__getitem__
-        return [b"".join(map(get, x)) for x in lists]
+        """The ids of each list of words: one look-up for each word, and one more for the few that were unknown."""
+        flat = list(chain.from_iterable(lists))
+        found = list(map(self.known.get, flat))
+        holes = [i for i, x in enumerate(found) if x is None]
+        if holes:
+            self._learn({flat[i] for i in holes})
+            known = self.known
+            for i in holes:
+                found[i] = known[flat[i]]
+        ends = list(accumulate(map(len, lists)))
+        return [b"".join(found[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text, packed."""
