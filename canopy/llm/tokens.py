@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from canopy.llm.common import settle
 from canopy.session import ship_code
 
 TOKENIZER = "word_bpe_49k.json"
@@ -198,7 +199,7 @@ def token_count(text: Column, tokenizer: str = TOKENIZER) -> Column:
     return of(text)
 
 
-def histogram(lengths: DataFrame, length: str = "n_tokens", block: int = 1024) -> DataFrame:
+def histogram(lengths: DataFrame, length: str = "n_tokens", block: int = 256) -> DataFrame:
     """For each length that occurs: its documents and the sums from either end.
 
     ``docs_at_least`` and ``tokens_at_least`` are suffix sums; ``docs_up_to`` and
@@ -207,7 +208,7 @@ def histogram(lengths: DataFrame, length: str = "n_tokens", block: int = 1024) -
     it.  The sums are made within blocks of ``block`` lengths and over the blocks, so no
     task holds more than a block or a row for each block.
     """
-    h = lengths.groupBy(F.col(length).alias("n_tokens")).agg(F.count(F.lit(1)).alias("n_docs"))
+    h = settle(lengths.groupBy(F.col(length).alias("n_tokens")).agg(F.count(F.lit(1)).alias("n_docs")))  # read twice below
     h = h.withColumns({"block": F.floor(F.col("n_tokens") / block), "tokens": F.col("n_tokens") * F.col("n_docs")})
     up = Window.partitionBy("block").orderBy("n_tokens").rowsBetween(Window.unboundedPreceding, 0)
     blocks = h.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
