@@ -18,7 +18,7 @@ class Query:
 
 
 REGISTRY: dict[str, Query] = {}
-MODULES = ("clouds", "images", "replicates", "traits", "metadata", "streams")
+MODULES = ("clouds", "images", "replicates", "traits", "comparisons", "metadata", "streams")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Builder], Builder]:
