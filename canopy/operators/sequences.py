@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from canopy.functions.vectors import cross, det3, distance, dot, vec
+from canopy.functions.vectors import cross, det3, distance, dot, minus, vec
 
 
 def lag_difference(df: DataFrame, by: Sequence[str], order: str, value: str) -> DataFrame:
@@ -59,13 +59,14 @@ def radians(a: Column) -> Column:
     return F.every(a < 2 * math.pi)
 
 
-def divergence(df: DataFrame, by: Sequence[str], order: str) -> DataFrame:
+def divergence(df: DataFrame, by: Sequence[str], order: str, by_step: bool = False) -> DataFrame:
     """angle (degrees) and internode from each organ's predecessor.
 
     Columns fx, fy, fz and sx, sy, sz are the organ's and the stem's directions,
     bx, by_, bz the branching point.  The angle is between the normals organ x
     stem, which aren't made unit vectors, and is completed to a full turn where
-    det[previous organ, organ, previous stem] is negative.  Outside of the
+    det[previous organ, organ, previous stem] is negative; with ``by_step`` the
+    step between the branching points takes the stem's place.  Outside of the
     domain of the arc cosine it is NaN.
     """
     w = Window.partitionBy(*by).orderBy(order)
@@ -73,5 +74,5 @@ def divergence(df: DataFrame, by: Sequence[str], order: str) -> DataFrame:
     d = df.withColumns({"p" + n: F.lag(n).over(w) for n in names}).where("pfx IS NOT NULL")
     f, s, b, pf, ps, pb = (vec(*(p + x for x in "xyz")) for p in ("f", "s", "b", "pf", "ps", "pb"))
     turn = F.acos(dot(cross(pf, ps), cross(f, s)))
-    angle = F.when(det3(pf, f, ps) < 0, 2 * math.pi - turn).otherwise(turn)
+    angle = F.when(det3(pf, f, minus(b, pb) if by_step else ps) < 0, 2 * math.pi - turn).otherwise(turn)
     return d.select(*by, order, F.degrees(angle).alias("angle"), distance(b, pb).alias("internode"))

@@ -87,13 +87,44 @@ def tree_directions(nodes: pd.DataFrame, edges: pd.DataFrame, most: float = 10.0
     return pd.DataFrame(rows, columns=["organ", *[f"{a}{x}" for a in "fsb" for x in "xyz"]])
 
 
-def directions(nodes: DataFrame, edges: DataFrame, by: Sequence[str], most: float = 10.0, least: float = 10.0) -> DataFrame:
-    """``tree_directions`` of every labelled tree: nodes (by, id, x, y, z, labels, fruit_id, main_stem_id) and edges (by, src, dst)."""
+def plane_directions(nodes: pd.DataFrame, edges: pd.DataFrame, n_fruit: int = 5, n_stem: int = 5) -> pd.DataFrame:
+    """The older way, from numbers of nodes: organ and stem directions within the plane fitted to the first ``n_fruit`` nodes of the fruit and ``n_stem // 2`` stem nodes on either side.
+
+    The organ's direction leads from the branching point to the fruit's mean;
+    the stem's is what is left of the plane's second axis, towards the next
+    branching point.  The last branching point only serves as the next one.
+    """
+    at = {int(r.id): np.array([r.x, r.y, r.z]) for r in nodes.itertuples()}
+    stem = [int(n) for n in nodes[nodes["main_stem_id"].notna()].sort_values("main_stem_id")["id"]]
+    has = lambda label: nodes[nodes["labels"].str.contains(label, na=False) & nodes["fruit_id"].notna()]
+    order, fruits = has("node").sort_values("fruit_id"), has("fruit")
+    starts = [int(i) for i in order["id"]]
+    rows: list[list[float]] = []
+    for (start, fruit_id), after in zip(zip(starts, order["fruit_id"], strict=True), starts[1:], strict=False):
+        own = np.array([at[int(i)] for i in fruits[fruits["fruit_id"] == fruit_id]["id"]])
+        if len(own) < 2:
+            continue
+        k, half = stem.index(start), n_stem // 2
+        plane = np.vstack([own[:n_fruit], *[at[i][None] for i in stem[max(0, k - half) : k + half]]])
+        u, v = np.linalg.svd(plane - plane.mean(axis=0), full_matrices=False)[2][:2]
+        lean = own.mean(axis=0) - at[start]
+        f = (lean @ u) * u + (lean @ v) * v
+        size = np.linalg.norm(f)
+        if not size:
+            continue
+        f = f / size
+        s = towards(at[after] - at[start], v - (v @ f) * f)
+        rows.append([len(rows), *f, *s, *at[start]])
+    return pd.DataFrame(rows, columns=["organ", *[f"{a}{x}" for a in "fsb" for x in "xyz"]])
+
+
+def directions(nodes: DataFrame, edges: DataFrame, by: Sequence[str], most: float = 10.0, least: float = 10.0, planes: bool = False) -> DataFrame:
+    """``tree_directions`` of every labelled tree (or ``plane_directions``): nodes (by, id, x, y, z, labels, fruit_id, main_stem_id) and edges (by, src, dst)."""
     names, kinds = list(by), dict(nodes.dtypes)
     ship_code(nodes.sparkSession)
 
     def run(key, n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        out = tree_directions(n, e, most, least)
+        out = plane_directions(n, e) if planes else tree_directions(n, e, most, least)
         for name, k in reversed(list(zip(names, key, strict=True))):
             out.insert(0, name, k)
         return out

@@ -43,6 +43,37 @@ def tree_traits(spark, sf_dir):
     return sequences.divergence(traits.directions(nodes, edges, ["graph"], 20.0, 2.0), ["graph"], "organ")
 
 
+@query("plane_traits")
+def plane_traits(spark, sf_dir):
+    """Angles (degrees) and internodes by planes through numbers of nodes, flipped where the median is over half a turn."""
+    nodes, edges = _labelled(spark, sf_dir)
+    d = sequences.divergence(traits.directions(nodes, edges, ["graph"], planes=True), ["graph"], "organ", by_step=True)
+    return sequences.median_flip(d.where(~F.isnan("angle")), ["graph"])
+
+
+@query("path_votes")
+def path_votes(spark, sf_dir):
+    """How often downhill walks through the travel times of each class pass a cell; a class is one volume."""
+    import numpy as np
+    import pandas as pd
+
+    from canopy.operators import volume
+    from canopy.plans.bindings import volumes
+    from canopy.session import ship_code
+
+    ship_code(spark)
+    speed = volumes(spark, sf_dir).withColumn("value", F.col("value") + 0.1)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        dense = np.zeros((8, 8, 8))
+        dense[pdf["i"], pdf["j"], pdf["k"]] = pdf["value"]
+        tips = [(7, 7, 7), (7, 0, 7), (0, 7, 7), (7, 7, 0)]
+        votes = volume.path_votes(volume.geodesic(dense, [(0, 0, 0)]), tips, 0.5)
+        return pd.DataFrame([(pdf["label"].iloc[0], *c, n) for c, n in votes.items()], columns=["label", "i", "j", "k", "votes"])
+
+    return speed.groupBy("label").applyInPandas(run, "label string, i long, j long, k long, votes long")
+
+
 @query("organ_traits")
 def organ_traits(spark, sf_dir):
     """Angles (radians) and internodes of the organs of each scan's cloud; the first label is the stem, the others are organs."""

@@ -66,6 +66,22 @@ def test_tree_to_traits(spark):
     assert all(min(abs(a - 90), abs(a - 270)) < 1 for _, a, _ in found)
 
 
+def test_planes_to_traits(spark):
+    """Organs in one plane with the stem, on either side in turn."""
+    nodes, edges = [(0, k, 0.0, 0.0, 4.0 * k) for k in range(16)], [(0, k - 1, k) for k in range(1, 16)]
+    n = 16
+    for turn, k in enumerate((3, 6, 9, 12)):
+        for step in range(1, 4):
+            nodes.append((0, n, 4.0 * step * (-1) ** turn, 0.0, 4.0 * k))
+            edges.append((0, k if step == 1 else n - 1, n))
+            n += 1
+    t = {"nodes": spark.createDataFrame(nodes, "graph int, id long, x double, y double, z double"), "edges": spark.createDataFrame(edges, "graph int, src long, dst long")}
+    tree = registry(t).run(spark, "TreeGraph", {"TreeGraph": {"stem_axis_inverted": True}})
+    d = traits.directions(tree, t["edges"], ["graph"], planes=True).toPandas().sort_values("organ")
+    assert np.allclose(np.abs(d["fx"]), 1, atol=1e-6) and list(np.sign(d["fx"])) == [1, -1, 1]
+    assert (d["sz"] > 0).all()
+
+
 def test_organs_to_traits():
     rng = np.random.default_rng(1)
     stem = np.column_stack([rng.normal(0, 0.3, 3000), rng.normal(0, 0.3, 3000), rng.uniform(0, 60, 3000)])
