@@ -79,7 +79,7 @@ ALIKE = (
 )
 
 #: Words too common to make a feature by themselves.
-COMMON = frozenset("the a an of and or to in is it for be by on at as with this that are you may not any all from can has".split())
+COMMON = frozenset("the a an of and or to in is it for be by on at as with this that are you may not any all from can has have was were but its if so no will other".split())
 
 
 def grams(text: str) -> set[str]:
@@ -122,7 +122,7 @@ def train(templates=None, alike=ALIKE, copies: int = 14, rounds: int = 250, seed
     templates = templates or TEMPLATES
     rng = np.random.default_rng(seed)
     families = [*sorted(templates), UNKNOWN]
-    vocabulary = {g: i for i, g in enumerate(sorted({g for texts in templates.values() for t in texts for g in grams(t)} | {g for t in alike for g in grams(t)}))}
+    vocabulary = {g: i for i, g in enumerate(sorted({g for texts in templates.values() for t in texts for g in grams(t)}))}
     own: list[tuple[str, int]] = []
     for label, name in enumerate(families):
         for t in templates.get(name, alike):
