@@ -31,7 +31,7 @@ def cell_of(flat: Column, nj: int, nk: int) -> tuple[Column, Column, Column]:
 def voxel_histogram(points: DataFrame, size: float, padding: int = 0, by: Sequence[str] = ()) -> DataFrame:
     """Points per lattice cell of each cloud.  The origin is the cloud's minimum less the padding, and the padding is added to the index again."""
     low = points.groupBy(*by).agg(*[F.min(a).alias(f"o{a}") for a in AXES])
-    joined = points.join(F.broadcast(low), list(by)) if by else points.join(F.broadcast(low))
+    joined = points.join(low, list(by)) if by else points.join(F.broadcast(low))
     cells = [(to_index(F.col(a), F.col(f"o{a}") - padding * size, size) + padding).alias(c) for a, c in zip(AXES, CELLS, strict=True)]
     return joined.select(*by, *cells).groupBy(*by, *CELLS).agg(F.count(F.lit(1)).alias("n"))
 
@@ -56,7 +56,7 @@ def bounding_box(points: DataFrame, by: Sequence[str] = (), margin: float = 0.05
 def downsample(points: DataFrame, most: int, by: Sequence[str] = ()) -> DataFrame:
     """The mean of the points in each cell, where a cloud of n points has cells of the size n // most + 1; smaller clouds stay."""
     sizes = points.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    sized = points.join(F.broadcast(sizes), list(by)) if by else points.join(F.broadcast(sizes))
+    sized = points.join(sizes, list(by)) if by else points.join(F.broadcast(sizes))
     size = F.floor(F.col("n") / most) + 1
     keys = [F.when(F.col("n") >= most, F.floor(F.col(a) / size)).otherwise(F.col("pid")).alias(c) for a, c in zip(AXES, CELLS, strict=True)]
     return sized.select(*by, *keys, *AXES).groupBy(*by, *CELLS).agg(F.count(F.lit(1)).alias("n"), *[F.avg(a).alias(a) for a in AXES])

@@ -13,7 +13,7 @@ EPSILON = 1e-9
 def rescaled(pixels: DataFrame, by: Sequence[str], bands: Sequence[str] = ("r", "g", "b")) -> DataFrame:
     """All bands of an image between 0 and 1 by its least and greatest value.  An image of one value is 0."""
     span = pixels.groupBy(*by).agg(F.min(F.least(*bands)).alias("lo"), F.max(F.greatest(*bands)).alias("hi"))
-    out = pixels.join(F.broadcast(span), list(by))  # a row for each image
+    out = pixels.join(span, list(by))
     width = F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))
     return out.withColumns({b: F.coalesce((F.col(b) - F.col("lo")) / width, F.lit(0.0)) for b in bands}).drop("lo", "hi")
 

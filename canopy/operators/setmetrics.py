@@ -57,14 +57,18 @@ def nearest_label_counts(source: DataFrame, target: DataFrame, labels: DataFrame
     """Per label: tp, fp, fn, tn of source points against the label of their nearest target point.
 
     ``fp`` counts sources with the label whose nearest target has another.  The
-    points are first counted by their pair of labels, so only these counts meet
-    the list of labels.
+    points are first counted by their pair of labels; a label's counts are sums
+    over these.
     """
     near = knn_join(source, target, 1).groupBy(F.col("label").alias("own"), F.col("t_label").alias("other")).agg(F.count(F.lit(1)).alias("n"))
-    pairs = near.join(F.broadcast(labels))  # at most labels squared times labels
-    a, b, n = F.col("own") == F.col("label"), F.col("other") == F.col("label"), F.col("n")
-    add = lambda test: F.coalesce(F.sum(F.when(test, n)), F.lit(0))
-    return pairs.groupBy("label").agg(add(a & b).alias("tp"), add(a & ~b).alias("fp"), add(~a & b).alias("fn"), add(~a & ~b).alias("tn"))
+    same = F.coalesce(F.sum(F.when(F.col("own") == F.col("other"), F.col("n"))), F.lit(0))
+    own = near.groupBy(F.col("own").alias("label")).agg(F.sum("n").alias("has"), same.alias("both"))
+    other = near.groupBy(F.col("other").alias("label")).agg(F.sum("n").alias("gets"))
+    total = near.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    rows = labels.join(own, "label", "left").join(other, "label", "left").join(F.broadcast(total))  # one row
+    tp, fp, fn = zero("both"), zero("has") - zero("both"), zero("gets") - zero("both")
+    return rows.select("label", tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), (F.col("total") - tp - fp - fn).alias("tn"))
 
 
 def labelled_iou(truth: DataFrame, prediction: DataFrame) -> DataFrame:

@@ -98,8 +98,8 @@ def _paired(p):
     """Every pair of scans: source points with the pair, and target points with it."""
     scans = p.select("scan_id").distinct()
     pairs = scans.select(F.col("scan_id").alias("a")).join(scans.select(F.col("scan_id").alias("b")), F.col("a") < F.col("b"))
-    left = p.join(F.broadcast(pairs), F.col("scan_id") == F.col("a")).drop("scan_id")
-    right = p.join(F.broadcast(pairs), F.col("scan_id") == F.col("b")).drop("scan_id")
+    left = p.join(pairs, F.col("scan_id") == F.col("a")).drop("scan_id")
+    right = p.join(pairs, F.col("scan_id") == F.col("b")).drop("scan_id")
     return left, right
 
 

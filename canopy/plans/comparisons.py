@@ -25,7 +25,7 @@ def _long(wide: DataFrame, a: str, b: str, metrics: Sequence[str]) -> DataFrame:
 def _sides(rows: DataFrame, scan: str) -> tuple[DataFrame, DataFrame]:
     """The rows of either scan of every pair of scans, with the pair (a, b).  There are as many pairs as replicates squared."""
     scans = rows.select(scan).distinct()
-    pairs = F.broadcast(scans.select(F.col(scan).alias("a")).join(scans.select(F.col(scan).alias("b")), F.col("a") < F.col("b")))
+    pairs = scans.select(F.col(scan).alias("a")).join(scans.select(F.col(scan).alias("b")), F.col("a") < F.col("b"))
     return rows.join(pairs, F.col(scan) == F.col("a")).drop(scan), rows.join(pairs, F.col(scan) == F.col("b")).drop(scan)
 
 

@@ -88,10 +88,10 @@ def registry(tables: dict[str, DataFrame]) -> Registry:
         nodes = t("nodes")
         axis = F.col("xyz"[z_axis])
         root = nodes.groupBy("graph").agg(F.min_by("id", F.struct(axis if stem_axis_inverted else -axis, "id")).alias("root"))
-        edges = graph.weighted(nodes, t("edges"), ["graph"]).join(F.broadcast(root), "graph")
+        edges = graph.weighted(nodes, t("edges"), ["graph"]).join(root, "graph")
         shift = lambda c: F.when(F.col(c) == F.col("root"), F.lit(-1)).otherwise(F.col(c)).alias(c)  # noqa: E731  the root becomes the least id
         found = graph.tree_graphs(edges.select("graph", shift("src"), shift("dst"), "weight"), ["graph"])
-        found = found.join(F.broadcast(root), "graph").withColumn("id", F.when(F.col("id") == -1, F.col("root")).otherwise(F.col("id"))).drop("root")
+        found = found.join(root, "graph").withColumn("id", F.when(F.col("id") == -1, F.col("root")).otherwise(F.col("id"))).drop("root")
         return nodes.join(found, ["graph", "id"])
 
     @reg.task("AnglesAndInternodes", ("TreeGraph",), node_sampling_dist=10.0, min_fruit_size=6.0)
