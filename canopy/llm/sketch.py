@@ -120,7 +120,7 @@ def runs(docs: DataFrame, doc_id: str, rows: int = RUN_ROWS, most: int = MOST_RU
     return np.unique(np.append(found[7::8], shape["least"])).tolist()
 
 
-def with_successor(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def with_successor(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run_rows: int = RUN_ROWS) -> DataFrame:
     """Rows (run, extra, doc_id, text), partitioned by run and sorted, in which each document is followed by its successor.
 
     The order is by ascending id, null first, then text.  The first documents of
@@ -128,7 +128,7 @@ def with_successor(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     come at the end of the last run.  One shuffle; no task gets more than its runs.
     """
     ship_code(docs.sparkSession)
-    starts = np.array(runs(docs, doc_id), dtype=np.int64)
+    starts = np.array(runs(docs, doc_id, run_rows), dtype=np.int64)
 
     @F.arrow_udf("run int, first boolean")
     def place(ids: pa.Array) -> pa.Array:
@@ -148,7 +148,7 @@ def with_successor(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return rows.repartitionById(min(n, width), F.col("run") % min(n, width)).sortWithinPartitions("run", "extra", F.col("doc_id").asc_nulls_first(), "text")
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K, shingle_words: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K, shingle_words: int = SHINGLE_WORDS, seed: int = SEED, run_rows: int = RUN_ROWS) -> DataFrame:
     """Per row: its sketch, that of its edited text, and its likeness to that and to its successor.
 
     A task holds one document and its successor at a time.
@@ -174,4 +174,4 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x) if i else pa.array(x, pa.int64()) for i, x in enumerate(zip(*out, strict=True))], names=names)
 
-    return with_successor(docs, doc_id, text).mapInArrow(run, schema)
+    return with_successor(docs, doc_id, text, run_rows).mapInArrow(run, schema)
