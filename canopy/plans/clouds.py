@@ -73,11 +73,7 @@ def nn_labels(spark, sf_dir):
 def nn_labels_grid(spark, sf_dir):
     """The nearest neighbours by growing cells, as used where the target is large."""
     p = points(spark, sf_dir)
-    bound, spatial.BROADCAST_POINTS = spatial.BROADCAST_POINTS, 0
-    try:
-        near = spatial.knn_join(p.where("scan_id = 2"), p.where("scan_id = 3"))
-    finally:
-        spatial.BROADCAST_POINTS = bound
+    near = spatial.knn_join(p.where("scan_id = 2"), p.where("scan_id = 3"), broadcast_points=0)
     return near.select("pid", F.round("d2", 6).alias("d2"))
 
 

@@ -31,15 +31,14 @@ def test_crop_is_strict(spark):
     assert [r.pid for r in lattice.crop(p, {"x": (2, 0), "y": (0, 2), "z": (0, 2)}).collect()] == [1]
 
 
-def test_neighbours_against_brute_force(spark, monkeypatch):
+def test_neighbours_against_brute_force(spark):
     rng = np.random.default_rng(0)
     a, b = rng.normal(0, 5, (60, 3)), np.vstack([rng.normal(0, 5, (90, 3)), [[80, 80, 80]]])
     d2 = ((a[:, None] - b[None]) ** 2).sum(axis=2)
     left, right = cloud(spark, a), cloud(spark, b)
     wanted = {(i, int(j)) for i in range(60) for j in np.argsort(d2[i], kind="stable")[:3]}
     direct = {(r.pid, r.t_pid) for r in spatial.knn_join(left, right, 3).collect()}
-    monkeypatch.setattr(spatial, "BROADCAST_POINTS", 0)
-    grid = {(r.pid, r.t_pid) for r in spatial.knn_join(left, right, 3).collect()}
+    grid = {(r.pid, r.t_pid) for r in spatial.knn_join(left, right, 3, broadcast_points=0).collect()}
     assert direct == grid == wanted
     near = {(r.pid, r.t_pid) for r in spatial.radius_join(left, right, 2.5).collect()}
     assert near == {(i, int(j)) for i, j in zip(*np.where(d2 <= 2.5**2), strict=True)}
