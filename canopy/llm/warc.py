@@ -10,7 +10,7 @@ become revisits that name it and hold no payload.
 Archives are real files: gzip members, one for each record, that end with an
 empty member.  Tasks make them whole and Spark's text sink writes the bytes, so
 any store that Spark can write holds them.  A file is about ``archive_bytes`` of
-payload, so a task holds one file at a time.
+records, so a task holds one file at a time.
 
 Defined results: a null page has an empty payload; a null url is ``about:blank``
 and white space in a url is percent-encoded; a record without a key is always a
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from canopy.llm.common import discard, scratch, settle, small
 from canopy.session import ship_code
 
-#: Bytes of payload after which an archive is closed.
+#: Bytes of records after which an archive is closed.
 ARCHIVE_BYTES = 8 << 20
 LEVEL = 4
 KEY_HEADER = "X-Page-Id"
@@ -239,9 +239,10 @@ def write_arcs(pages: DataFrame, path: str, page_id: str = "page_id", url: str =
                 head += f"{KEY_HEADER}: {key}\r\n" if key is not None else ""
                 place = "".join(f"%{ord(c):02X}" if c.isspace() else c for c in where or "about:blank")
                 when = FIRST_CAPTURE + timedelta(seconds=(key or 0) % 315_360_000)
-                members.append(gzip_member(arc_record(version, name, held, place, "0.0.0.0", when, head.encode() + b"\r\n" + payload)))
+                record = arc_record(version, name, held, place, "0.0.0.0", when, head.encode() + b"\r\n" + payload)
+                members.append(gzip_member(record))
                 held += len(members[-1])
-                size += len(payload)
+                size += len(record)  # with its head, so that many empty pages fill an archive, too
                 if size >= archive_bytes:
                     yield close()
                     members, size, count = [], 0, count + 1
