@@ -6,8 +6,8 @@
 2. The words to take are cut into equal blocks of ``block_words`` tokens.  The
    blocks are given to sources by highest quotient target / (2 a - 1).
 3. A source's documents fall into shards by a seeded hash, each of about
-   ``shard_words`` words, so a source with a third of all rows is spread over
-   many tasks.  The source's blocks are given to its shards by the same rule,
+   ``shard_words`` words or ``shard_rows`` documents, whichever is less, so a
+   source with a third of all rows, empty or not, is spread over many tasks.  The source's blocks are given to its shards by the same rule,
    which leaves an integer quota per shard.
 4. In a shard the documents stand in seeded order and the quota takes the
    blocks in that order, in a second round once all are taken.  So documents
@@ -33,6 +33,7 @@ SHARE = 1.5
 MOST = 2
 BLOCK_WORDS = 16
 SHARD_WORDS = 1 << 19
+SHARD_ROWS = 1 << 14
 SEED = 17
 
 _M = "__mix_"
@@ -64,9 +65,9 @@ def apportion(cells: DataFrame, group: list[str], order: str, votes: str, seats:
     return cells.join(quota, keys)
 
 
-def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS) -> DataFrame:
+def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Per source of ``sizes`` (source, size): rank, source_size, target, shards, whether it is at its cap, and its quota of blocks."""
-    s = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    s = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("__rows"))
     one = Window.partitionBy("__one")
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), ((F.col("rank") - 1) % len(weights) + 1).cast("int"))
     s = s.withColumn("__one", F.lit(0)).withColumn("rank", F.row_number().over(one.orderBy(F.col("source").asc_nulls_last())))
@@ -78,7 +79,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
     s = s.withColumn("target", F.least(F.col("cap").cast("double"), F.coalesce(level, F.lit(0.0)) * F.col("weight")))
     s = s.withColumns({
         "full": F.col("target") >= F.col("cap"),
-        "shards": F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long"),
+        "shards": F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words), F.ceil(F.col("__rows") / shard_rows)).cast("long"),
         "seats": F.round(F.col("__total") / block_words).cast("long"),
     })
     s = apportion(s, ["__one"], "rank", "target", "seats")
@@ -87,18 +88,17 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
 
 def mix(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED, block_words: int = BLOCK_WORDS,
-    shard_words: int = SHARD_WORDS, weights=WEIGHTS, share: float = SHARE, most: int = MOST, carry: bool = False,
+    shard_words: int = SHARD_WORDS, shard_rows: int = SHARD_ROWS, weights=WEIGHTS, share: float = SHARE, most: int = MOST, carry: bool = False,
 ) -> DataFrame:
     """Per row of ``docs``: doc_id, size, source_size, target and taken, the words that the mix takes of it.
 
     With ``carry`` all columns of ``docs`` stay and the results come in one
     struct ``__mix_``; otherwise texts don't leave the first stage.
     """
-    spark = docs.sparkSession
     key = {_M + "size": F.size(words(F.col(text))).cast("long"), _M + "key": seeded(F.col(doc_id), seed)}
-    bare = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text"))
-    bare = settle(bare.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), seeded(F.col("doc_id"), seed).alias("key")))
-    plan = settle(targets(bare.select("source", "size"), weights, share, most, block_words, shard_words))
+    bare = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), *[c.alias(n.removeprefix(_M)) for n, c in key.items()])
+    bare = settle(bare)
+    plan = settle(targets(bare.select("source", "size"), weights, share, most, block_words, shard_words, shard_rows))
     plan = small(plan, plan.count())
     shard = lambda key, shards: F.conv(F.substring(key, 1, 8), 16, 10).cast("long") % shards
 
@@ -135,18 +135,18 @@ def blend(docs: DataFrame, **named) -> DataFrame:
     return rows.where(F.col(_M) > 0).withColumn(_M, F.explode(F.array_repeat(F.lit(0), F.col(_M)))).drop(_M)
 
 
-def oracle(block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = SEED) -> str:
+def oracle(block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, shard_rows: int = SHARD_ROWS, seed: int = SEED) -> str:
     """The same in DuckDB SQL, with a quotient for every block."""
     return rf"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '') || ':{seed}') AS key FROM documents),
-s AS (SELECT source, sum(size)::BIGINT AS z, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM d GROUP BY source),
+s AS (SELECT source, sum(size)::BIGINT AS z, count(*) AS cnt, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM d GROUP BY source),
 c AS (SELECT *, CASE (rank - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w, 2 * z AS cap, (sum(z) OVER ())::DOUBLE * 1.5 AS total FROM s),
 l AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap::DOUBLE / w, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
               / (sum(w) OVER (ORDER BY cap::DOUBLE / w, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS lam FROM c),
 t AS (SELECT *, least(cap::DOUBLE, coalesce((SELECT arg_min(lam, (cap::DOUBLE / w, rank)) FROM l WHERE lam <= cap::DOUBLE / w), 0) * w) AS target FROM l),
 q1 AS (SELECT rank, row_number() OVER (ORDER BY target / (2 * a - 1) DESC, rank) AS n, total FROM (SELECT rank, target, total, unnest(range(1, (target / {block_words})::BIGINT + 40)) AS a FROM t WHERE target > 0)),
 qs AS (SELECT rank, count(*) AS quota FROM q1 WHERE n <= round(total / {block_words}) GROUP BY rank),
-p AS (SELECT doc_id, size, key, t.rank, z, target, cap, coalesce(qs.quota, 0) AS quota, ('0x' || key[1:8])::BIGINT % greatest(1, ceil(z / {shard_words}))::BIGINT AS shard
+p AS (SELECT doc_id, size, key, t.rank, z, target, cap, coalesce(qs.quota, 0) AS quota, ('0x' || key[1:8])::BIGINT % greatest(1, ceil(z / {shard_words}), ceil(cnt / {shard_rows}))::BIGINT AS shard
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN qs ON qs.rank = t.rank),
 cell AS (SELECT rank, shard, sum(size)::BIGINT AS cz, any_value(quota) AS quota, any_value(target >= cap) AS is_full, any_value(z) AS z FROM p GROUP BY rank, shard),
 q2 AS (SELECT rank, shard, quota, row_number() OVER (PARTITION BY rank ORDER BY cz / (2 * a - 1) DESC, shard) AS n

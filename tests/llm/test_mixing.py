@@ -99,6 +99,13 @@ def test_shards(spark):
     assert whole >= 0.9 * len(rows)
 
 
+def test_many_empty_documents_spread(spark):
+    rows = [(i, "", "en", "hot", 0) for i in range(300)] + [(1000 + i, prose(i, 30), "en", "b", 1) for i in range(30)]
+    sizes = mixing.mix(frame(spark, rows), shard_rows=20)
+    plan = {r.source: r.shards for r in mixing.targets(spark.createDataFrame([(r[3], len((r[1] or "").split())) for r in rows], "source string, size long"), shard_rows=20).collect()}
+    assert plan == {"hot": 15, "b": 2} and {r.taken for r in sizes.where("doc_id < 1000").collect()} == {0}
+
+
 def test_odd_rows(spark):
     df = frame(spark, odd_rows(), True)
     found = mixing.mix(df).collect()
