@@ -162,13 +162,13 @@ def train(texts: list[str | None], labels: list[int], rounds: int = 8, rate: flo
 
 
 def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, train_chars: int = TRAIN_CHARS, seed: int = 11) -> ByteConv:
-    """A network for the labels of ``docs``.  The labelled ids in the sample are few and bounded; their texts come to the driver."""
+    """A network for the labels of ``docs``.  The labelled ids in the sample are few and bounded; a text of each comes to the driver, the least where an id is repeated."""
     known = labels.select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("label")).where("label IN (0, 1)").groupBy("__id").agg(F.min("label").alias("label"))
     n = known.count()
     draw = F.pmod(F.xxhash64(F.col("__id"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     picked = known.where(draw < min(1.0, sample / max(n, 1)))
     bare = docs.select(F.col(doc_id).alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where(F.length("text") <= train_chars)
-    rows = bare.join(F.broadcast(picked), "__id").select("__id", "text", "label").collect()
+    rows = bare.join(F.broadcast(picked), "__id").groupBy("__id", "label").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: (r["__id"], r["text"]))
     return train([r["text"] for r in rows], [r["label"] for r in rows])
 

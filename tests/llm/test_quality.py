@@ -51,7 +51,7 @@ def test_one_class_or_none(spark):
 
 def test_sample_is_bounded(spark):
     df = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("abc").alias("text"))
-    labels = df.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    df, labels = df.union(df), df.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
     seen = []
     original, quality.train = quality.train, lambda t, y: seen.append(len(t)) or original([], [])
     try:
