@@ -55,10 +55,10 @@ def label_vote(spark, sf_dir):
     return projection.vote(points(spark, sf_dir), _seen(spark, sf_dir), classes, ["fruit", "leaf"])
 
 
-@query("pose_from_extrinsics", using("views") + " SELECT view, round(-(r00*tx + r10*ty + r20*tz), 6) AS x, round(-(r01*tx + r11*ty + r21*tz), 6) AS y, round(-(r02*tx + r12*ty + r22*tz), 6) AS z FROM views")
+@query("pose_from_extrinsics", using("views") + " SELECT view, round(-(r00*tx + r10*ty + r20*tz), 6) + 0.0 AS x, round(-(r01*tx + r11*ty + r21*tz), 6) + 0.0 AS y, round(-(r02*tx + r12*ty + r22*tz), 6) + 0.0 AS z FROM views")
 def pose_from_extrinsics(spark, sf_dir):
     c = projection.camera_centres(views(spark))
-    return c.select("view", *[F.round(a, 6).alias(a) for a in "xyz"])
+    return c.select("view", *[(F.round(a, 6) + 0.0).alias(a) for a in "xyz"])  # no negative zero
 
 
 @query("camera_plane", using("views") + """, c(corner, a, b) AS (VALUES (0, -0.125::DOUBLE, -0.125::DOUBLE), (1, 0.125::DOUBLE, -0.125::DOUBLE), (2, 0.125::DOUBLE, 0.125::DOUBLE), (3, -0.125::DOUBLE, 0.125::DOUBLE)),
@@ -80,9 +80,9 @@ def linear_mask(spark, sf_dir):
     return raster.rescaled(images(spark, sf_dir), ["shot_id"]).select("shot_id", "u", "v", m.alias("mask"), raster.inverted(m).alias("inverted"))
 
 
-@query("excess_green", using("images") + f", {_RESCALED}, e AS (SELECT shot_id, u, v, r + g + b + 1e-9::DOUBLE AS s, r, g, b FROM q) SELECT shot_id, u, v, round(2 * (g / s) - r / s - b / s, 6) AS value FROM e")
+@query("excess_green", using("images") + f", {_RESCALED}, e AS (SELECT shot_id, u, v, r + g + b + 1e-9::DOUBLE AS s, r, g, b FROM q) SELECT shot_id, u, v, round(2 * (g / s) - r / s - b / s, 6) + 0.0 AS value FROM e")
 def excess_green(spark, sf_dir):
-    return raster.rescaled(images(spark, sf_dir), ["shot_id"]).select("shot_id", "u", "v", F.round(raster.image_filter("excess_green"), 6).alias("value"))
+    return raster.rescaled(images(spark, sf_dir), ["shot_id"]).select("shot_id", "u", "v", (F.round(raster.image_filter("excess_green"), 6) + 0.0).alias("value"))
 
 
 @query("dilate_disk", using("images") + """, m AS (SELECT shot_id, u, v, CASE WHEN r > 240 THEN 255 ELSE 0 END AS value FROM images)

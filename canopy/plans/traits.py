@@ -132,10 +132,10 @@ def display_sample(spark, sf_dir):
     return p.groupBy("scan_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("unique_stem_rows", "SELECT DISTINCT round(embedding[1], 1)::DOUBLE AS x, round(embedding[2], 1)::DOUBLE AS y FROM embeddings")
+@query("unique_stem_rows", "SELECT DISTINCT round(embedding[1]::DOUBLE, 1) + 0.0 AS x, round(embedding[2]::DOUBLE, 1) + 0.0 AS y FROM embeddings")
 def unique_stem_rows(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    return e.select(F.round(e["embedding"][0], 1).cast("double").alias("x"), F.round(e["embedding"][1], 1).cast("double").alias("y")).distinct().orderBy("x", "y")
+    return e.select(*[(F.round(e["embedding"][i].cast("double"), 1) + 0.0).alias(a) for i, a in enumerate("xy")]).distinct().orderBy("x", "y")
 
 
 @query("ordered_by_value", "SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal, s_suppkey) AS pos FROM supplier")
