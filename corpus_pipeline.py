@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.llm import mixing, packing, quality, rules, simhash
+from canopy.llm import mixing, packing, quality, rules, similar
 from canopy.llm.common import discard, scratch, table
 
 
@@ -21,8 +21,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return simhash.one_of_each(docs)
+    """Near copies of documents that stay go: five-word shingles, a similarity of 0.8 or more."""
+    return similar.one_of_each(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
