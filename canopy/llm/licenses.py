@@ -1,6 +1,7 @@
 """Licence scans: a trained paragraph classifier in DataFrame operations.
 
-A paragraph is a line with a word.  Its distinct word n-grams, n = 1 to 3, are
+A paragraph is a line with a word, or a run of successive such lines over which
+a hard-wrapped notice is broken (see ``wrapped``).  Its distinct word n-grams, n = 1 to 3, are
 looked up in a sparse multinomial logistic regression over licence families and
 an unknown class.  The probabilities are calibrated by a temperature.  A family
 is predicted if it has at least ``LEAST`` of the probability and is confirmed if
@@ -25,7 +26,7 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from canopy.llm.common import settle
@@ -167,24 +168,76 @@ def _grams(w: Column) -> Column:
 
 def paragraphs(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The paragraphs with a predicted family: doc_id, pos (the line's number from 0), family, score, cover, confirmed."""
-    spark = docs.sparkSession
-    names, n_templates = model.families, len(model.templates)
     lines = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.posexplode(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "\n")).alias("pos", "line"))
     lines = lines.select("row", "doc_id", "pos", F.regexp_extract_all("line", F.lit(f"({WORD})"), 1).alias("words"))
     found = settle(lines.where(F.arrays_overlap("words", F.array(*[F.lit(a) for a in model.anchors]))))
-    table = F.broadcast(_model_table(spark, model))  # as many rows as the templates have n-grams
-    hits = found.select("row", "doc_id", "pos", F.explode(_grams(F.col("words"))).alias("gram")).join(table, "gram")
+    return _judged(found, ["row", "doc_id", "pos"], model).select("doc_id", F.col("pos").cast("long").alias("pos"), "family", "score", "cover", "confirmed")
+
+
+def _judged(found: DataFrame, keys: list[str], model: Model) -> DataFrame:
+    """The rows (keys, words) with a predicted family: keys, family, score, cover, confirmed."""
+    names, n_templates = model.families, len(model.templates)
+    table = F.broadcast(_model_table(found.sparkSession, model))  # as many rows as the templates have n-grams
+    hits = found.select(*keys, F.explode(_grams(F.col("words"))).alias("gram")).join(table, "gram")
     sums = [F.sum(F.col("weights")[i]).alias(f"w{i}") for i in range(len(names))] + [F.sum(F.col("shares")[i]).alias(f"t{i}") for i in range(n_templates)]
-    per = hits.groupBy("row", "doc_id", "pos").agg(*sums)
+    per = hits.groupBy(*keys).agg(*sums)
     z = F.array(*[F.col(f"w{i}") + float(model.bias[i]) for i in range(len(names))])
     cover = F.array(*[F.greatest(F.lit(0.0), F.lit(0.0), *[F.col(f"t{j}") for j, (f, _) in enumerate(model.templates) if f == name]) for name in names])
-    per = per.select("row", "doc_id", "pos", z.alias("z"), cover.alias("covers"))
+    per = per.select(*keys, z.alias("z"), cover.alias("covers"))
     top = F.array_max("z")
     per = per.withColumns({"best": F.array_position("z", top).cast("int"), "score": 1 / F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp(x - top))})
     per = per.where((F.col("score") >= LEAST) & (F.col("best") < len(names)))
     family = F.element_at(F.array(*[F.lit(x) for x in names]), F.col("best"))
     cover_of = F.element_at("covers", F.col("best"))
-    return per.select("doc_id", F.col("pos").cast("long").alias("pos"), family.alias("family"), "score", cover_of.alias("cover"), (cover_of >= COVERED).alias("confirmed"))
+    return per.select(*keys, family.alias("family"), "score", cover_of.alias("cover"), (cover_of >= COVERED).alias("confirmed"))
+
+
+def wrapped(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Runs of two or more lines with a predicted family: doc_id, first and last (line numbers), family, score, cover, confirmed.
+
+    A run has no line without a word.  Its outer lines have a word of the model
+    each and give their nearest ``reach`` words; the lines between have at most
+    ``reach`` words in all.  ``reach`` is twice the longest template, so that
+    any notice up to that length is in the run from its first to its last line.
+    """
+    reach = 2 * max(len(re.findall(WORD, t.lower())) for texts in TEMPLATES.values() for t in texts)
+    known = F.array(*[F.lit(a) for a in model.anchors])
+    lines = F.transform(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "\n"), lambda x: F.regexp_extract_all(x, F.lit(f"({WORD})"), F.lit(1)))
+    ends = F.transform(
+        lines,
+        lambda w: F.struct(
+            F.size(w).alias("n"), F.slice(w, 1, reach).alias("head"), F.slice(w, F.greatest(F.size(w) - (reach - 1), F.lit(1)), reach).alias("tail"), F.arrays_overlap(w, known).alias("known")
+        ),
+    )
+    some = docs.where(F.instr(F.col(text), "\n") > 0).select(F.col(doc_id).alias("doc_id"), ends.alias("ends"))
+    some = some.select("doc_id", "ends", F.explode(F.filter(F.sequence(F.lit(0), F.size("ends") - 1), lambda i: F.col("ends")[i]["known"])).alias("first"))
+    some = some.select("doc_id", "first", F.slice("ends", F.col("first") + 1, reach + 2).alias("ends"))  # each line between has a word
+    blank = F.array_position(F.transform("ends", lambda x: x["n"] == 0), True).cast("int")
+    some = some.withColumn("ends", F.when(blank > 0, F.slice("ends", 1, F.greatest(blank - 1, F.lit(0)))).otherwise(F.col("ends")))
+    between = lambda j: F.slice("ends", 2, F.greatest(j - 1, F.lit(0)))
+    short = lambda j: F.aggregate(between(j), F.lit(0), lambda a, x: a + x["n"]) <= reach
+    steps = F.when(F.size("ends") > 1, F.filter(F.sequence(F.lit(1), F.greatest(F.size("ends") - 1, F.lit(1))), lambda j: F.col("ends")[j]["known"] & short(j)))
+    some = some.withColumn("step", F.explode(steps))
+    words = F.concat(F.col("ends")[0]["tail"], F.flatten(F.transform(between(F.col("step")), lambda x: x["head"])), F.col("ends")[F.col("step")]["head"])
+    runs = settle(some.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("first").cast("long").alias("first"), (F.col("first") + F.col("step")).cast("long").alias("last"), words.alias("words")))
+    return _judged(runs, ["row", "doc_id", "first", "last"], model).drop("row")
+
+
+def notices(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The confirmed notices: doc_id, pos (the first line's number), family, score.
+
+    A run counts if no line of it is confirmed for the same family; overlapping
+    runs of a family are one notice.
+    """
+    lines = settle(paragraphs(docs, model, doc_id, text).where("confirmed").groupBy("doc_id", "pos").agg(F.max("family").alias("family"), F.max("score").alias("score")))
+    runs = wrapped(docs, model, doc_id, text).where("confirmed").groupBy("doc_id", "first", "last", "family").agg(F.max("score").alias("score"))
+    own = lines.select(F.col("doc_id").alias("__id"), F.col("family").alias("__family"), "pos")
+    runs = runs.join(own, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("family") == F.col("__family")) & F.col("pos").between(F.col("first"), F.col("last")), "left_anti")
+    order = Window.partitionBy("doc_id", "family").orderBy("first", "last")
+    runs = runs.withColumn("before", F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    runs = runs.withColumn("notice", F.count_if(F.col("before").isNull() | (F.col("first") > F.col("before"))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = runs.groupBy("doc_id", "family", "notice").agg(F.min("first").alias("pos"), F.max("score").alias("score"))
+    return lines.select("doc_id", "pos", "family", "score").union(whole.select("doc_id", "pos", "family", "score"))
 
 
 def _model_table(spark: SparkSession, model: Model) -> DataFrame:
@@ -192,10 +245,9 @@ def _model_table(spark: SparkSession, model: Model) -> DataFrame:
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: Model | None = None) -> DataFrame:
-    """A row per document: doc_id, licenses (its confirmed families, by name, comma-separated), n_paragraphs that name one, and the highest score."""
+    """A row per document: doc_id, licenses (its confirmed families, by name, comma-separated), n_paragraphs (notices that name one), and the highest score."""
     model = model or train()
-    found = paragraphs(docs, model, doc_id, text).where("confirmed").groupBy("doc_id", "pos").agg(F.max("family").alias("family"), F.max("score").alias("score"))
-    found = found.groupBy(F.col("doc_id").alias("__id")).agg(
+    found = notices(docs, model, doc_id, text).groupBy(F.col("doc_id").alias("__id")).agg(
         F.array_join(F.sort_array(F.collect_set("family")), ",").alias("licenses"), F.count(F.lit(1)).alias("n_paragraphs"), F.max("score").alias("score")
     )
     ids = docs.select(F.col(doc_id).alias("doc_id"))

@@ -63,3 +63,36 @@ def test_planted_lines(spark, sf):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     for r in op8_licenses(spark, sf).collect():
         assert r.licenses == ",".join(sorted(k for k, v in planted.items() if v in texts[r.doc_id]))
+
+
+MIT = """MIT License
+
+Copyright (c) 2020 A. Nobody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""
+
+GPL = """/*
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ */"""
+
+
+def test_wrapped_notices(spark, model):
+    narrow = MIT.replace(", ", ",\n").replace("any person", "any\nperson")
+    texts = {
+        1: (MIT, "mit", 1), 2: (GPL, "gpl", 1), 3: (f"{GPL}\n\nsome words\n\n{MIT}", "gpl,mit", 2), 4: (narrow, "mit", 1),
+        5: (f"Released under the MIT License.\n\n{MIT}", "mit", 2), 6: ("one\ntwo\n\nthe software\nof any person", "", 0),
+        7: ("word " * 400 + GPL.replace("/*\n * ", "").replace("\n */", "") + " word" * 400, "gpl", 1), 8: ("a line\n\n\n" * 50, "", 0), 9: (MIT.replace("\n", "\n\n"), "", 0),
+    }
+    rows = [(i, t, "en", "a", 1) for i, (t, _, _) in texts.items()] + [(1, MIT, "en", "a", 1)] + [r for r in odd_rows() if r[0] is None]
+    found = licenses.scan(frame(spark, rows), model=model).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        assert (r.licenses, r.n_paragraphs) == (texts[r.doc_id][1:] if r.doc_id else ("", 0)), r
