@@ -179,11 +179,11 @@ def divergence_angles(spark, sf_dir):
 
 @query("sequence_alignment")
 def sequence_alignment(spark, sf_dir):
-    """The first organs of successive scans aligned, with free ends."""
-    m = measures(spark, sf_dir).where("pos <= 12").groupBy("scan_id").agg(F.sort_array(F.collect_list(F.struct("pos", "angle", "internode"))).alias("s"))
+    """Successive scans' organs aligned, with free ends."""
+    m = measures(spark, sf_dir).groupBy("scan_id").agg(F.sort_array(F.collect_list(F.struct("pos", "angle", "internode"))).alias("s"))
     m = m.select("scan_id", F.transform("s", lambda x: F.struct(x["angle"].alias("angle"), x["internode"].alias("internode"))).alias("a"))
     b = m.select((F.col("scan_id") - 1).alias("scan_id"), F.col("a").alias("b"))
-    return alignment.align(m.join(b, "scan_id"), ["scan_id"], free_ends=0.2)
+    return alignment.align(m.join(b, "scan_id").repartition(F.col("scan_id")), ["scan_id"], free_ends=0.2)
 
 
 @query("pose_circles")

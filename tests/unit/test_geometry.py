@@ -163,3 +163,25 @@ def test_right_angle_divergence(spark):
     d = spark.createDataFrame([row(0, (1.0, 0.0, 0.0)), row(1, (0.0, 1.0, 0.0)), row(2, (1.0, 0.0, 0.0))], names)
     found = {r.pos: (r.angle, r.internode) for r in sequences.divergence(d, ["s"], "pos").collect()}
     assert found[1] == pytest.approx((90, 3)) and found[2] == pytest.approx((270, 3))
+
+
+def test_free_ends_against_all_choices():
+    rng = np.random.default_rng(4)
+    for n, m in ((1, 1), (4, 9), (11, 8), (10, 10)):
+        a, b = (np.column_stack([rng.uniform(0, 360, k), rng.exponential(9, k)]) for k in (n, m))
+        ways = []
+        for p, q, r, s in np.ndindex(*[int(k * 0.3) + 1 for k in (n, n, m, m)]):
+            if p + q < n and r + s < m:
+                cost, path = alignment.warp(alignment.mixed_cost(a[p : n - q], b[r : m - s]))
+                ways.append((cost, p + q + r + s, p, q, r, s, len(path)))
+        best = min(ways)
+        assert alignment.free_warp(a, b, 0.3, at_once=7) == (best[0], best[6], *best[2:6])
+
+
+def test_whole_sequences_are_aligned(spark, sf):
+    from canopy.plans.bindings import measures
+    from canopy.plans.replicates import sequence_alignment
+
+    size = {r.scan_id: r["count"] for r in measures(spark, sf).groupBy("scan_id").count().collect()}
+    found = sequence_alignment(spark, sf).collect()
+    assert found and all(r.matches >= max(size[r.scan_id] - r.a0 - r.a1, size[r.scan_id + 1] - r.b0 - r.b1) for r in found)
