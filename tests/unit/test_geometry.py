@@ -44,6 +44,17 @@ def test_neighbours_against_brute_force(spark):
     assert near == {(i, int(j)) for i, j in zip(*np.where(d2 <= 2.5**2), strict=True)}
 
 
+def test_far_neighbours_against_brute_force(spark):
+    rng = np.random.default_rng(6)
+    b = rng.normal(0, 5, (120, 3))
+    a = np.vstack([rng.normal(0, 5, (20, 3)), rng.normal(0, 40, (20, 3)), [[900, 0, 0], [-3e4, 2e4, 7], [0, 0, 1e6]], rng.normal(300, 5, (20, 3))])
+    d2 = ((a[:, None] - b[None]) ** 2).sum(axis=2)
+    for k in (1, 3):
+        wanted = {(i, int(j)) for i in range(len(a)) for j in np.argsort(d2[i], kind="stable")[:k]}
+        for cell in (None, 0.5):
+            assert {(r.pid, r.t_pid) for r in spatial.knn_join(cloud(spark, a), cloud(spark, b), k, cell=cell, broadcast_points=0).collect()} == wanted
+
+
 def test_registration(spark):
     a, b = cloud(spark, [(0, 0, 0), (5, 0, 0)]), cloud(spark, [(1, 0, 0), (50, 0, 0)])
     r = spatial.registration(a, b, 2.0).first()
