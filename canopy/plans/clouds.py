@@ -197,10 +197,14 @@ def plane_ransac(spark, sf_dir):
 
 @query("root_distance_skeleton")
 def root_distance_skeleton(spark, sf_dir):
-    """Skeleton nodes of one scan's cloud by bins of the distance to a root."""
-    p = points(spark, sf_dir).where("scan_id = 0")
-    nodes, _ = graph.root_distance_skeleton(p, p.agg(F.min("pid")).first()[0], 6, 10.0)
-    return nodes
+    """Skeleton nodes of each scan's cloud by bins of the distance to a root."""
+    p = points(spark, sf_dir)
+    out = None
+    for scan, root in sorted(tuple(r) for r in p.groupBy("scan_id").agg(F.min("pid")).collect()):
+        nodes, _ = graph.root_distance_skeleton(p.where(F.col("scan_id") == scan), root, 6, 10.0)
+        nodes = nodes.select(F.lit(scan).alias("scan_id"), *nodes.columns)
+        out = nodes if out is None else out.unionByName(nodes)
+    return out
 
 
 @query("nearest_organ_end", using("points") + """, d AS (SELECT a.label, b.pid, min_by(a.pid, ((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z), a.pid)) AS stem_pid, min((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) AS d2
