@@ -6,8 +6,8 @@ over every chunk and are max-pooled within it.  The mean and the maximum of the
 chunks' pooled values are combined into one probability.
 
 It is trained on the driver from a bounded sample: about ``sample`` labelled
-documents of at most ``train_chars`` characters each, chosen by a hash of the
-id.  Scoring covers whole texts of any length, ``BATCH`` chunks at a time.
+documents, chosen by a hash of the id; of a text over ``train_chars`` characters
+as many successive ones, from a place chosen by a hash of the id and the text.  Scoring covers whole texts of any length, ``BATCH`` chunks at a time.
 
 Defined results: a null or empty text is one chunk of padding and gets that
 score.  If only one class is learned from, or none, every score is the smoothed
@@ -162,13 +162,16 @@ def train(texts: list[str | None], labels: list[int], rounds: int = 8, rate: flo
 
 
 def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, train_chars: int = TRAIN_CHARS, seed: int = 11) -> ByteConv:
-    """A network for the labels of ``docs``.  The labelled ids in the sample are few and bounded; a text of each comes to the driver, the least where an id is repeated."""
+    """A network for the labels of ``docs``.  The labelled ids in the sample are few and bounded; a text of each, or a bounded piece of it, comes to the driver, the least where an id is repeated."""
     known = labels.select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("label")).where("label IN (0, 1)").groupBy("__id").agg(F.min("label").alias("label"))
     n = known.count()
     draw = F.pmod(F.xxhash64(F.col("__id"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     picked = known.where(draw < min(1.0, sample / max(n, 1)))
-    bare = docs.select(F.col(doc_id).alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where(F.length("text") <= train_chars)
-    rows = bare.join(F.broadcast(picked), "__id").groupBy("__id", "label").agg(F.min("text").alias("text")).collect()
+    bare = docs.select(F.col(doc_id).alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    room = F.greatest(F.length("text") - train_chars, F.lit(0))
+    start = F.pmod(F.xxhash64("__id", "text", F.lit(seed)), (room + 1).cast("long")).cast("int") + 1
+    bare = bare.join(F.broadcast(picked), "__id").select("__id", "label", F.when(room > 0, F.substring("text", start, F.lit(train_chars))).otherwise(F.col("text")).alias("text"))
+    rows = bare.groupBy("__id", "label").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: (r["__id"], r["text"]))
     return train([r["text"] for r in rows], [r["label"] for r in rows])
 

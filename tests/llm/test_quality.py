@@ -59,3 +59,18 @@ def test_sample_is_bounded(spark):
     finally:
         quality.train = original
     assert 120 <= seen[0] <= 280
+
+
+def test_long_texts_are_learned_from(spark):
+    good, bad = [prose(i, 400) for i in range(12)], [" ".join(w + "###" for w in prose(i, 400).split()) for i in range(12)]
+    rows = [(i, t, i % 2) for i, t in enumerate(x for pair in zip(good, bad, strict=True) for x in pair)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    seen = []
+    original, quality.train = quality.train, lambda t, y: seen.append((t, y)) or original([], [])
+    try:
+        quality.learn(df.select("doc_id", "text"), df.select("doc_id", "quality"), train_chars=500)
+    finally:
+        quality.train = original
+    (texts, labels), whole = seen[0], [t for _, t, _ in rows]
+    assert labels == [q for *_, q in rows] and all(len(t) == 500 and t in w for t, w in zip(texts, whole, strict=True))
+    assert sum(w.startswith(t) for t, w in zip(texts, whole, strict=True)) < 5
