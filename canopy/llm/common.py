@@ -66,3 +66,14 @@ def words(text: Column) -> Column:
 def held_out(doc_id: Column) -> Column:
     """True where crc32 of the id as text leaves 1 modulo 3.  A null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
+
+
+def plain(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named c0, c1, ... in order, so that an operator's own columns can't clash with them; ``toDF(*names)`` names them back."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def plain_name(df: DataFrame, name: str) -> str:
+    """The name in ``plain(df)`` of the column ``name``."""
+    names = [c.lower() for c in df.columns]
+    return f"c{names.index(name.lower())}"

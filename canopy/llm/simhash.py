@@ -43,25 +43,38 @@ SHINGLE_WORDS = 3
 SEED = 42
 
 
-def fingerprint_bits(text: str | None, shingle_words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
-    """The fingerprint of one text as a signed 64-bit number."""
+def shingle_hashes(text: str | None, shingle_words: int = SHINGLE_WORDS, seed: int = SEED) -> np.ndarray:
+    """The XXH64 of each shingle of a text, in order; a shorter text is one shingle, a text without words none."""
     import xxhash
 
-    found = text.encode("utf-8", "surrogatepass").lower().split() if text else []  # bytes: only A-Z and the six ASCII spaces
+    found = split_words(text)
     if not found:
-        return 0
+        return np.zeros(0, dtype="<u8")
     line = b" ".join(found)
     ends = np.cumsum([len(w) + 1 for w in found]) - 1
     k = min(shingle_words, len(found))
     starts = [0, *(ends[: len(found) - k] + 1).tolist()]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter([digest(line[a:b], seed) for a, b in zip(starts, ends[k - 1 :].tolist(), strict=True)], dtype="<u8")
+    return np.fromiter([digest(line[a:b], seed) for a, b in zip(starts, ends[k - 1 :].tolist(), strict=True)], dtype="<u8")
+
+
+def split_words(text: str | None) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").lower().split() if text else []  # bytes: only A-Z and the six ASCII spaces
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half the hashes, as a signed 64-bit number; 0 for no hashes."""
     count = np.zeros(BITS, dtype=np.int64)
     for part in range(0, len(hashes), 1 << 16):  # bounded memory for very long texts
         count += np.unpackbits(hashes[part : part + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * count > len(hashes), bitorder="little").view("<i8")[0])
 
 
+def fingerprint_bits(text: str | None, shingle_words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
+    """The fingerprint of one text as a signed 64-bit number."""
+    return majority(shingle_hashes(text, shingle_words, seed))
+
+
 def simhash(text: Column, shingle_words: int = SHINGLE_WORDS, seed: int = SEED) -> Column:
     """The fingerprint of each text as a long."""
 
@@ -127,9 +140,11 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round hangs every node's larger neighbours, then its smaller ones, to
     the smallest neighbour, and is checkpointed.  The rounds end when they
-    change nothing, after about log2 of the longest path.
+    change nothing, which the number of edges and a sum of their hashes show,
+    after about log2 of the longest path.
     """
     e = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    state = _state(e)
     while True:
         both = e.union(e.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -137,15 +152,20 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        new = settle(small)
-        changed = new.exceptAll(e).limit(1).union(e.exceptAll(new).limit(1)).isEmpty()
-        e = new
-        if changed:
+        e = settle(small)
+        before, state = state, _state(e)
+        if before == state:
             break
     roots = e.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
     return roots.union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def _state(edges: DataFrame) -> tuple:
+    """Equal for equal sets of edges, whatever their order; two 64-bit hashes, so that unequal ones differ."""
+    bits = [F.bit_xor(F.xxhash64("u", "v", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
+    return tuple(edges.agg(F.count(F.lit(1)).alias("n"), *bits).first())
+
+
 def classes(prints: DataFrame, budget: int = BUDGET) -> DataFrame:
     """(fp, component_id) for the rows (doc_id, fp): the smallest doc_id reachable over links of at most ``budget`` bits."""
     least = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
@@ -159,19 +179,3 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     prints = settle(docs.select(F.col(doc_id).alias("doc_id"), simhash(F.col(text), shingle_words, seed).alias("fp")))
     found = prints.join(classes(prints, budget), "fp")
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", budget: int = BUDGET, shingle_words: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
-    """The rows of ``docs`` but for near-duplicates: of each component the row with the smallest id stays.
-
-    Rows with a null id can't be told apart by it and all stay.  Of several
-    rows with the staying id one stays.
-    """
-    found = near_duplicates(docs, doc_id, text, budget, shingle_words, seed)
-    stay = settle(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__stay_id")).agg(F.count(F.lit(1)).alias("__stay_n")))
-    kept = docs.join(stay, docs[doc_id] == stay["__stay_id"])
-    one = kept.where("__stay_n = 1")
-    if not stay.where("__stay_n > 1").isEmpty():
-        one = one.union(kept.where("__stay_n > 1").dropDuplicates([doc_id]))
-    names = [F.col(f"`{x}`") for x in docs.columns]
-    return one.select(*names).union(docs.where(F.col(doc_id).isNull()).select(*names))

@@ -1,37 +1,42 @@
-"""One document of each set of near copies, by the similarity of their word shingles.
-
-Two texts are near copies if their sets of five-word shingles have a Jaccard
-similarity of ``SIMILAR`` or more.  Candidates come from MinHash bands: texts
-that agree in all ``ROWS`` minima of one of ``BANDS`` bands meet in a bucket.
-Pairs at a similarity of 0.8 share no bucket with probability
-(1 - 0.8^5)^30 = 7e-6, closer pairs more rarely.  Every candidate pair is then
-checked exactly on the shingles' 64-bit hashes.  (SimHash can't do this: by the angle between such sets about 10 of 64 bits
-differ on average, so a budget that covers them has more than ten segments of
-at most 6 bits, which are no keys for a join.)
-
-Texts are ordered by their smallest id.  A text that is linked to a smaller one
-goes and leaves all of its buckets.  First each text is compared with the
-smallest one that it meets; then, in rounds, the first 1, 2, 4, ... texts that
-are left in a bucket are compared with all after them, until no bucket has two.
-Since only a linked text leaves a bucket before it was compared with all in it,
-no two texts that stay and share a bucket are near copies.  A bucket of n texts
-makes n pairs for each text that stays, not n squared.
+"""One document of each group of near copies, by the similarity of their word shingles.
+
+Two texts are linked if their sets of five-word shingles have a Jaccard
+similarity of ``SIMILAR`` or more; a group is what links connect.  One row of
+each group stays.
+
+Candidates come in two ways.  SimHash fingerprints of the same shingles are
+linked by the pigeonring filter (``simhash.links``).  That finds the closest
+copies only: by the angle between sets at a similarity of 0.8 about 10 of 64
+bits differ on average, and a budget that covers them has more than ten
+segments of at most 6 bits, which are no keys for a join.  So the rest comes
+from MinHash bands: texts that agree in all ``ROWS`` minima of one of ``BANDS``
+bands meet in a bucket.  Pairs at a similarity of 0.8 share no bucket with
+probability (1 - 0.8^5)^30 = 7e-6, closer pairs more rarely.  Every candidate
+pair is checked exactly on the shingles' 64-bit hashes.
+
+A bucket is worked off in rounds: its first 1, 2, 4, ... texts are compared with
+all after them and leave it.  Texts that are already known to be connected
+aren't compared, so a bucket is done once what is left in it is connected: a
+group of n near copies makes a few pairs for each, not n squared.  All other
+pairs that share a bucket are compared.
 
 Defined results: texts with equal words (case of A-Z aside) are one, as are all
-texts without words.  Rows with a null id all stay; a text that only has null
-ids comes last in order.  Of several rows with the staying id one stays.
+texts without words.  Of a group the row with the smallest id stays, null ids
+last, then the text with the smallest hash; of equal rows one.  Rows are told
+apart by id and text, so repeated ids with different texts are judged apart.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from canopy.llm.common import settle, small
+from canopy.llm import simhash
+from canopy.llm.common import plain, plain_name, settle, small
 from canopy.session import ship_code
 
 SIMILAR = 0.8
@@ -42,23 +47,9 @@ SEED = 42
 PART, TEXTS = 2048, 128
 
 
-def split_words(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []  # bytes: only A-Z and the six ASCII spaces
-
-
 def shingles(text: str | None, shingle_words: int = SHINGLE_WORDS, seed: int = SEED) -> np.ndarray:
     """The distinct hashes of a text's shingles, in order; a shorter text is one shingle, a text without words none."""
-    import xxhash
-
-    found = split_words(text)
-    if not found:
-        return np.zeros(0, dtype=np.uint64)
-    line = b" ".join(found)
-    ends = np.cumsum([len(w) + 1 for w in found]) - 1
-    k = min(shingle_words, len(found))
-    starts = [0, *(ends[: len(found) - k] + 1).tolist()]
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter([digest(line[a:b], seed) for a, b in zip(starts, ends[k - 1 :].tolist(), strict=True)], dtype=np.uint64))
+    return np.unique(simhash.shingle_hashes(text, shingle_words, seed))
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -83,93 +74,129 @@ def bands(hashes: np.ndarray, n: int = BANDS, rows: int = ROWS) -> np.ndarray:
     return (least * mix).reshape(n, rows).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
+def _print(text: str | None) -> int:
+    import xxhash
+
+    return int(np.uint64(xxhash.xxh64_intdigest(b" ".join(simhash.split_words(text)), SEED)).view(np.int64))
+
+
 def marks(text: Column, shingle_words: int = SHINGLE_WORDS) -> Column:
-    """(fp, bands) of each text: a hash of its words and its buckets."""
+    """(fp, sim, size, bands) of each text: a hash of its words, its SimHash fingerprint, its number of distinct shingles and its buckets."""
 
     ship_code()
 
-    @F.pandas_udf("fp long, bands array<long>")
+    @F.pandas_udf("fp long, sim long, size int, bands array<long>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             for a in range(0, len(texts), TEXTS):
                 some = texts.iloc[a : a + TEXTS]
-                yield pd.DataFrame({"fp": [_print(x) for x in some], "bands": [bands(shingles(x, shingle_words)) for x in some]})
+                hashes = [simhash.shingle_hashes(x, shingle_words, SEED) for x in some]
+                own = [np.unique(h) for h in hashes]
+                yield pd.DataFrame({"fp": [_print(x) for x in some], "sim": [simhash.majority(h) for h in hashes], "size": [len(h) for h in own], "bands": [bands(h) for h in own]})
 
     return of(text)
 
 
 def sets(text: Column, shingle_words: int = SHINGLE_WORDS) -> Column:
-    """(fp, hashes) of each text: a hash of its words and its distinct shingles' hashes."""
+    """The distinct shingles' hashes of each text."""
 
     ship_code()
 
-    @F.pandas_udf("fp long, hashes array<long>")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("array<long>")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             for a in range(0, len(texts), TEXTS):
-                some = texts.iloc[a : a + TEXTS]
-                yield pd.DataFrame({"fp": [_print(x) for x in some], "hashes": [shingles(x, shingle_words).view(np.int64) for x in some]})
+                yield pd.Series([shingles(x, shingle_words).view(np.int64) for x in texts.iloc[a : a + TEXTS]])
 
     return of(text)
 
 
-def _print(text: str | None) -> int:
-    import xxhash
-
-    return int(np.uint64(xxhash.xxh64_intdigest(b" ".join(split_words(text)), SEED)).view(np.int64))
-
-
-def _verified(pairs: DataFrame, hashes: DataFrame, least: float) -> DataFrame:
-    """The larger texts ``b`` of the pairs (a, b) that are near copies."""
+def _linked(pairs: DataFrame, hashes: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) that are near copies."""
     own = lambda side: hashes.select(F.col("fp").alias(side), F.col("hashes").alias("h" + side))
     both = F.size(F.array_intersect("ha", "hb"))
     near = both / (F.size("ha") + F.size("hb") - both) >= least
-    return pairs.join(own("b"), "b").join(own("a"), "a").where(near).select("b").distinct()
-
-
-def _left(met: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows (key, fp, least) whose text stays, of keys with two or more."""
-    rest = met.join(gone.select(F.col("b").alias("fp")), "fp", "left_anti").select("key", "fp", "least")
-    return rest.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1").drop("n")
-
-
-def linked(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str, least: float, shingle_words: int) -> DataFrame:
-    """``b``: the texts of ``nodes`` (fp, least, bands) that are near copies of a smaller one."""
-    met = nodes.select(F.explode("bands").alias("key"), "fp", "least")
-    met = settle(met.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1").drop("n"))
-    mine = settle(met.select("fp", "least").distinct())
-    n = mine.count()
-    ids = small(mine.where("least IS NOT NULL").select(F.col("least").alias("__id")), n)
-    some = docs.join(ids, docs[doc_id] == ids["__id"], "left_semi").select(F.col(text).alias("text"))
-    some = some.union(docs.where(F.col(doc_id).isNull()).select(F.col(text).alias("text")))
-    hashes = some.select(sets(F.col("text"), shingle_words).alias("s")).select("s.*").join(small(mine.select("fp"), n), "fp", "left_semi")
-    hashes = settle(hashes.dropDuplicates(["fp"]))
-    place = F.struct(F.col("least").isNull().alias("none"), "least", "fp")
-    first = met.groupBy("key").agg(F.min(place).alias("first"))
-    pairs = met.join(first, "key").where("first.fp <> fp").groupBy(F.col("fp").alias("b")).agg(F.min("first").alias("first")).select("b", F.col("first.fp").alias("a"))
-    gone = settle(_verified(pairs, hashes, least))
-    heads, rest = 1, settle(_left(met, gone))
-    while not rest.isEmpty():
-        ranked = settle(rest.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy(place))))
-        a = ranked.where(F.col("place") <= heads).select("key", F.col("fp").alias("a"), F.col("place").alias("at"))
-        pairs = ranked.join(a, "key").where("at < place").select("a", F.col("fp").alias("b")).distinct()
-        more = settle(_verified(pairs, hashes, least))
-        gone = gone.union(more)
-        rest = settle(_left(ranked.where(F.col("place") > heads), more))
+    return pairs.join(own("b"), "b").join(own("a"), "a").where(near).select("a", "b")
+
+
+def fingerprint_pairs(nodes: DataFrame, budget: int = simhash.BUDGET) -> DataFrame:
+    """Pairs (a < b) of texts ``fp``, each with the first of those that have its SimHash fingerprint and the first of a linked one."""
+    first = settle(nodes.groupBy("sim").agg(F.min("fp").alias("first")))
+    equal = nodes.join(first, "sim").select(F.col("first").alias("a"), F.col("fp").alias("b")).where("a <> b")
+    met = simhash.links(first.select(F.col("sim").alias("fp")), budget).groupBy("b").agg(F.min("a").alias("a"))
+    end = lambda side: first.select(F.col("sim").alias(side), F.col("first").alias("f" + side))
+    met = met.join(end("a"), "a").join(end("b"), "b").select(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b"))
+    return equal.union(met).distinct()
+
+
+def _labels(edges: DataFrame) -> DataFrame:
+    """(fp, label) for ends of edges (a < b): texts with one label are connected.  Not all that are connected have one label."""
+    both = edges.select("a", "b").union(edges.select(F.col("a"), F.col("a")))
+    own = both.groupBy(F.col("b").alias("fp")).agg(F.min("a").alias("up"))
+    return own.join(own.select(F.col("fp").alias("up"), F.col("up").alias("label")), "up").select("fp", "label")
+
+
+def groups(nodes: DataFrame, hashes_of: Callable[[DataFrame], DataFrame], least: float = SIMILAR) -> DataFrame:
+    """(node, root) of the texts of ``nodes`` (fp, sim, size, bands) that have links.
+
+    ``hashes_of`` gives the table (fp, hashes) for a table of ``fp``.
+    """
+    near = settle(fingerprint_pairs(nodes))
+    met = nodes.select(F.explode("bands").alias("key"), "fp", "size")
+    shared = met.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    met = settle(met.join(shared, "key"))
+    hashes = settle(hashes_of(met.select("fp").union(near.select("a")).union(near.select("b")).distinct()))
+    edges = settle(_linked(near, hashes, least))
+    heads = 1
+    while True:
+        told = met.join(_labels(edges), "fp", "left").select("key", "fp", "size", F.coalesce("label", "fp").alias("label"))
+        apart = told.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+        rest = settle(told.join(apart, "key"))
+        if rest.isEmpty():
+            return simhash.components(edges)
+        if heads == 1:
+            first = rest.groupBy("key").agg(F.min(F.struct("fp", "size", "label")).alias("s")).select("key", "s.*")
+        else:
+            order = Window.partitionBy("key").orderBy("fp")
+            first = rest.withColumn("place", F.row_number().over(order)).where(F.col("place") <= heads).drop("place")
+        a = first.select("key", F.col("fp").alias("a"), F.col("size").alias("na"), F.col("label").alias("la"))
+        fits = F.least("na", "size") >= F.greatest("na", "size") * least  # else they can't be so similar
+        pairs = rest.join(a, "key").where("a < fp AND la <> label").where(fits).select("a", F.col("fp").alias("b")).distinct()
+        edges = settle(edges.union(_linked(pairs, hashes, least)).distinct())
+        met = rest.join(first.select("key", "fp"), ["key", "fp"], "left_anti").select("key", "fp", "size")
         heads *= 2
-    return gone
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILAR, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """The rows of ``docs`` but for near copies of rows with a smaller id that stay, or that went for a smaller one."""
-    prints = settle(docs.select(F.col(doc_id).alias("doc_id"), marks(F.col(text), shingle_words).alias("m")).select("doc_id", "m.*"))
-    nodes = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands")))
-    stay = nodes.join(linked(docs, nodes, doc_id, text, least, shingle_words), F.col("fp") == F.col("b"), "left_anti").select("fp", "least")
-    rows = prints.select("doc_id", F.col("fp").alias("__fp")).join(stay, (F.col("__fp") == F.col("fp")) & (F.col("doc_id") == F.col("least")))
-    stay = settle(rows.groupBy(F.col("doc_id").alias("__stay_id")).agg(F.count(F.lit(1)).alias("__stay_n")))
-    kept = docs.join(stay, docs[doc_id] == stay["__stay_id"])
-    one = kept.where("__stay_n = 1")
-    if not stay.where("__stay_n > 1").isEmpty():
-        one = one.union(kept.where("__stay_n > 1").dropDuplicates([doc_id]))
-    names = [F.col(f"`{x}`") for x in docs.columns]
-    return one.select(*names).union(docs.where(F.col(doc_id).isNull()).select(*names))
+    """The rows of ``docs``, one of each group of near copies."""
+    bare = plain(docs)
+    doc_id, text = plain_name(docs, doc_id), plain_name(docs, text)
+    key = [F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("row")]
+    prints = settle(bare.select(*key, marks(F.col(text), shingle_words).alias("m")).select("doc_id", "row", "m.*"))
+    keys = settle(prints.groupBy("fp", "doc_id", "row").agg(F.count(F.lit(1)).alias("n")))
+    repeated = not keys.where("n > 1").isEmpty()
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    nodes = settle(prints.groupBy("fp").agg(F.min(place).alias("place"), *[F.first(x).alias(x) for x in ("sim", "size", "bands")]))
+
+    def hashes_of(some: DataFrame) -> DataFrame:
+        picked = settle(nodes.join(some, "fp").select("fp", F.col("place.doc_id").alias("i"), F.col("place.row").alias("r")))
+        picked = small(picked, picked.count())
+        rows = bare.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
+        rows = rows.join(picked, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("row") == F.col("r"))).select("fp", "text")
+        found = rows.select("fp", sets(F.col("text"), shingle_words).alias("hashes"))
+        return found.dropDuplicates(["fp"]) if repeated else found
+
+    tied = groups(nodes, hashes_of, least)
+    rooted = nodes.join(tied, F.col("fp") == F.col("node"), "left").select("fp", "place", F.coalesce("root", "fp").alias("root"))
+    stays = rooted.groupBy("root").agg(F.min("place").alias("stay"))
+    stays = rooted.join(stays, "root").select("fp", F.col("stay.doc_id").alias("i"), F.col("stay.row").alias("r"))
+    stays = keys.join(stays, "fp")
+    judged = settle(stays.select("doc_id", "row", "n", (F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("row") == F.col("r"))).alias("stays")).where("n > 1 OR NOT stays"))
+
+    rows = bare.withColumns({"id": F.col(doc_id), "row": F.xxhash64(text)})
+    met = lambda found: rows["id"].eqNullSafe(found["doc_id"]) & (rows["row"] == found["row"])
+    out = rows.join(small(judged, judged.count()), met(judged), "left_anti")
+    again = judged.where("stays")
+    if not again.isEmpty():  # equal rows, of which one stays
+        out = out.union(rows.join(again, met(again), "left_semi").dropDuplicates(["id", "row"]))
+    return out.select(*bare.columns).toDF(*docs.columns)

@@ -121,19 +121,9 @@ def test_query(spark, sf):
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in op9_simhash(spark, sf).collect()} == {d: (f"{p:016x}", want[d]) for d, p in zip(ids, prints, strict=True)}
 
 
-def test_one_of_each(spark):
-    rows = [*odd_rows(), (30, prose(9, 300), "en", "a", 1), (31, prose(9, 300) + " ", "en", "a", 1)]
-    df = frame(spark, rows, True)
-    kept = simhash.one_of_each(df)
-    assert kept.columns == df.columns
-    assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([1, 3, 6, 7, 8, 9, 30, None, None], key=repr)
-    twice = simhash.one_of_each(frame(spark, [(2, "a b c d e", "en", "a", 1)] * 2 + [(3, "q w e r t y", "en", "a", 1)]))
-    assert sorted(r.doc_id for r in twice.collect()) == [2, 3]
-
-
 def test_empty(spark):
     df = frame(spark, odd_rows()).limit(0)
-    assert simhash.near_duplicates(df).count() == 0 and simhash.one_of_each(df).count() == 0
+    assert simhash.near_duplicates(df).count() == 0
 
 
 def test_long_text_in_parts():
