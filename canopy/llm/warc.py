@@ -15,7 +15,7 @@ records, so a task holds one file at a time.
 Defined results: a null page has an empty payload; a null url is ``about:blank``
 and white space in a url is percent-encoded; a record without a key is always a
 response, and no other refers to it; rows with the same key and payload are all
-responses.
+responses and have one WARC identifier.
 """
 
 from __future__ import annotations
@@ -32,13 +32,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.llm.common import discard, scratch, settle, small
+from canopy.llm.common import discard, scratch, settle
 from canopy.session import ship_code
 
 #: Bytes of records after which an archive is closed.
 ARCHIVE_BYTES = 8 << 20
 LEVEL = 4
-KEY_HEADER = "X-Page-Id"
+#: The page's id, and that of the page that a revisit refers to.
+KEY_HEADER, TARGET_HEADER = "X-Page-Id", "X-Refers-To-Page-Id"
+#: Revisits up to this number are broadcast to the archives, about 16 bytes each; more are joined to the archives by path.
+MOST_REVISITS = 1_000_000
 FIRST_CAPTURE = datetime(2005, 1, 1, tzinfo=timezone.utc)
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 #: Field names of the header lines, fixed by the ARC format.
@@ -147,19 +150,9 @@ def http_key(head: bytes) -> int | None:
 # --- WARC
 
 
-def record_id(key: int | None, *parts: str) -> str:
-    """A version 8 UUID from a hash of the parts; its low bits are the key, so a reference can be read back."""
-    h = int.from_bytes(hashlib.sha1("\n".join(parts).encode("utf-8", "surrogatepass")).digest()[:16], "big")
-    low = h & ((1 << 61) - 1) if key is None else key & ((1 << 61) - 1) | 1 << 61
-    return f"<urn:uuid:{uuid.UUID(int=h >> 80 << 80 | 8 << 76 | (h >> 64 & 0xFFF) << 64 | 2 << 62 | low)}>"
-
-
-def key_of(identifier: str) -> int | None:
-    low = uuid.UUID(identifier.strip("<>")).int & ((1 << 62) - 1)
-    if not low >> 61:
-        return None
-    value = low & ((1 << 61) - 1)
-    return value - (1 << 61) if value >> 60 else value
+def record_id(*parts: object) -> str:
+    """A name-based UUID of the parts.  A captured page's parts are its key and its payload's digest, so that a revisit can name its response."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, chr(10).join(map(str, parts)).encode('utf-8', 'backslashreplace').decode())}>"
 
 
 def warc_record(fields: list[tuple[str, str]], block: bytes) -> bytes:
@@ -186,11 +179,11 @@ def convert(record: dict, refers_to: int | None = None) -> bytes:
     """The WARC record for a parsed ARC record: a revisit of the record with the key ``refers_to``, or else a response."""
     head, payload = split_http(record["content"])
     url, date = record["URL"], datetime.strptime(record["Archive-date"], "%Y%m%d%H%M%S")
-    digest = sha1_base32(payload)
+    digest, key = sha1_base32(payload), http_key(head)
     block = record["content"] if refers_to is None else head
     fields = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
-        ("WARC-Record-ID", record_id(http_key(head), url, record["Archive-date"], digest)),
+        ("WARC-Record-ID", record_id(url, record["Archive-date"], digest) if key is None else record_id(key, digest)),
         ("WARC-Date", f"{date:%Y-%m-%dT%H:%M:%SZ}"),
         ("WARC-Target-URI", url),
         ("WARC-IP-Address", record["IP-address"]),
@@ -198,8 +191,10 @@ def convert(record: dict, refers_to: int | None = None) -> bytes:
         ("WARC-Block-Digest", f"sha1:{sha1_base32(block)}"),
         ("Content-Type", "application/http; msgtype=response" if head else record["Content-type"]),
     ]
+    if key is not None:
+        fields.append((KEY_HEADER, str(key)))
     if refers_to is not None:
-        fields[1:1] = [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", record_id(refers_to, digest, str(refers_to)))]
+        fields[1:1] = [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", record_id(refers_to, digest)), (TARGET_HEADER, str(refers_to))]
     return warc_record(fields, block)
 
 
@@ -283,7 +278,8 @@ def convert_arcs(spark: SparkSession, source: str, target: str, least_bytes: int
     first = index.where(F.col("bytes") >= least_bytes).groupBy("digest", "bytes").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     revisits = settle(index.join(first, ["digest", "bytes"]).where("key <> first").select("path", "n", "first"))
     by_file = revisits.groupBy("path").agg(F.collect_list(F.struct("n", "first")).alias("revisits"))
-    files = _files(spark, source).join(small(by_file, revisits.count()), "path", "left").select("path", "content", "revisits")
+    by_file = F.broadcast(by_file) if revisits.count() <= MOST_REVISITS else by_file
+    files = _files(spark, source).join(by_file, "path", "left").select("path", "content", "revisits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -316,8 +312,8 @@ def read_warcs(spark: SparkSession, path: str) -> DataFrame:
                     if sha1_base32(block) != fields["WARC-Block-Digest"].removeprefix("sha1:") or kind == "response" and sha1_base32(payload) != digest:
                         raise ValueError(f"a digest of {fields['WARC-Record-ID']} is wrong")
                     size = int(http_field(head, "Content-Length") or len(payload))
-                    to = key_of(fields["WARC-Refers-To"]) if kind == "revisit" else None
-                    rows.append((key_of(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], kind, size, digest, to))
+                    to = int(fields[TARGET_HEADER]) if kind == "revisit" else None
+                    rows.append((int(fields[KEY_HEADER]) if KEY_HEADER in fields else None, fields["WARC-Target-URI"], kind, size, digest, to))
                 if rows:
                     kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in schema.split(", ")])

@@ -24,10 +24,11 @@ def test_arc_round_trip(version):
     (parsed,) = warc.parse_warc(warc.gzip_member(warc.convert(r)) + warc.END)
     fields, block = parsed
     assert block == content and fields["WARC-Date"] == "2006-05-04T03:02:01Z" and fields["WARC-Type"] == "response"
-    assert warc.key_of(fields["WARC-Record-ID"]) == 7 and fields["WARC-Payload-Digest"] == "sha1:" + warc.sha1_base32(warc.split_http(content)[1])
+    assert fields["X-Page-Id"] == "7" and fields["WARC-Payload-Digest"] == "sha1:" + warc.sha1_base32(warc.split_http(content)[1])
     (parsed,) = warc.parse_warc(warc.gzip_member(warc.convert(r, 3)))
     fields, block = parsed
-    assert fields["WARC-Type"] == "revisit" and warc.key_of(fields["WARC-Refers-To"]) == 3 and block == warc.split_http(content)[0]
+    assert fields["WARC-Refers-To"] == warc.record_id(3, warc.sha1_base32(warc.split_http(content)[1]))
+    assert fields["WARC-Type"] == "revisit" and fields["X-Refers-To-Page-Id"] == "3" and block == warc.split_http(content)[0]
 
 
 def test_uncompressed_members_in_one():
@@ -43,10 +44,16 @@ def test_damage_is_an_error():
         list(warc.parse_arc(warc.gzip_member(warc.arc_version_block(1, "x").replace(b"\n1 0", b"\n9 0"))))
 
 
-def test_keys():
-    for k in (0, 1, 5, 2**40, 2**59, -3):
-        assert warc.key_of(warc.record_id(k, "a")) == k
-    assert warc.key_of(warc.record_id(None, "a")) is None
+def test_revisits_name_records_of_the_archives(spark, tmp_path):
+    least, most = -(2**63), 2**63 - 1
+    rows = [(least, "a", "same"), (most, "b", "same"), (2**60, "c", "same"), (2**61 + 5, "d", "other"), (-1, "e", "other"), (None, "f", "other"), (None, "g", "same")]
+    found = warc.archive(pages(spark, rows).repartition(3), place=f"file://{tmp_path}")
+    assert rows_of(found.select("page_id", "refers_to")) == sorted([(least, None), (most, least), (2**60, least), (2**61 + 5, -1), (-1, None), (None, None), (None, None)], key=repr)
+    records = [f for r in spark.read.format("binaryFile").load(f"file://{tmp_path}/warc").collect() for f, _ in warc.parse_warc(r.content)]
+    kinds = {f["WARC-Record-ID"]: f["WARC-Type"] for f in records}
+    assert len(kinds) == len(records)
+    named = [f["WARC-Refers-To"] for f in records if f["WARC-Type"] == "revisit"]
+    assert len(named) == 3 and {kinds[x] for x in named} == {"response"}
 
 
 def test_revisits(spark):
