@@ -15,8 +15,9 @@ a word of the model at all (any other has no feature and is unknown), a
 broadcast join with the model, whose size is fixed by the templates, and an
 aggregation for each paragraph.
 
-Defined results: a null or empty text has no paragraph and no licence.  Repeated
-rows get equal results; a document's paragraphs count once.  Ties between
+Defined results: a null or empty text has no paragraph and no licence.  A
+document is judged by its own text, whether its id is repeated or null; equal
+rows get equal results, their paragraphs count once.  Ties between
 families go to the first by name.
 """
 
@@ -65,7 +66,7 @@ TEMPLATES = {
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
     ),
     "mpl-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the MPL 2.0."),
-    "proprietary": ("Copyright. All rights reserved.", "This software is proprietary and confidential; unauthorized copying of this file is strictly prohibited."),
+    "proprietary": ("All rights reserved.", "Copyright. All rights reserved.", "This software is proprietary and confidential; unauthorized copying of this file is strictly prohibited."),
 }
 
 #: Sentences that share words with the notices and license nothing.
@@ -166,12 +167,20 @@ def _grams(w: Column) -> Column:
     return F.array_distinct(F.concat(runs(1), runs(2), runs(3)))
 
 
+#: What tells documents apart: ids may be repeated or null.
+KEY = ("doc_id", "text_hash")
+
+
+def _key(doc_id: str, text: str) -> list[Column]:
+    return [F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash")]
+
+
 def paragraphs(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The paragraphs with a predicted family: doc_id, pos (the line's number from 0), family, score, cover, confirmed."""
-    lines = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.posexplode(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "\n")).alias("pos", "line"))
-    lines = lines.select("row", "doc_id", "pos", F.regexp_extract_all("line", F.lit(f"({WORD})"), 1).alias("words"))
+    """The paragraphs with a predicted family: doc_id, text_hash, pos (the line's number from 0), family, score, cover, confirmed."""
+    lines = docs.select(F.monotonically_increasing_id().alias("row"), *_key(doc_id, text), F.posexplode(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "\n")).alias("pos", "line"))
+    lines = lines.select("row", *KEY, "pos", F.regexp_extract_all("line", F.lit(f"({WORD})"), 1).alias("words"))
     found = settle(lines.where(F.arrays_overlap("words", F.array(*[F.lit(a) for a in model.anchors]))))
-    return _judged(found, ["row", "doc_id", "pos"], model).select("doc_id", F.col("pos").cast("long").alias("pos"), "family", "score", "cover", "confirmed")
+    return _judged(found, ["row", *KEY, "pos"], model).select(*KEY, F.col("pos").cast("long").alias("pos"), "family", "score", "cover", "confirmed")
 
 
 def _judged(found: DataFrame, keys: list[str], model: Model) -> DataFrame:
@@ -193,7 +202,7 @@ def _judged(found: DataFrame, keys: list[str], model: Model) -> DataFrame:
 
 
 def wrapped(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Runs of two or more lines with a predicted family: doc_id, first and last (line numbers), family, score, cover, confirmed.
+    """Runs of two or more lines with a predicted family: doc_id, text_hash, first and last (line numbers), family, score, cover, confirmed.
 
     A run has no line without a word.  Its outer lines have a word of the model
     each and give their nearest ``reach`` words; the lines between have at most
@@ -209,9 +218,9 @@ def wrapped(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
             F.size(w).alias("n"), F.slice(w, 1, reach).alias("head"), F.slice(w, F.greatest(F.size(w) - (reach - 1), F.lit(1)), reach).alias("tail"), F.arrays_overlap(w, known).alias("known")
         ),
     )
-    some = docs.where(F.instr(F.col(text), "\n") > 0).select(F.col(doc_id).alias("doc_id"), ends.alias("ends"))
-    some = some.select("doc_id", "ends", F.explode(F.filter(F.sequence(F.lit(0), F.size("ends") - 1), lambda i: F.col("ends")[i]["known"])).alias("first"))
-    some = some.select("doc_id", "first", F.slice("ends", F.col("first") + 1, reach + 2).alias("ends"))  # each line between has a word
+    some = docs.where(F.instr(F.col(text), "\n") > 0).select(*_key(doc_id, text), ends.alias("ends"))
+    some = some.select(*KEY, "ends", F.explode(F.filter(F.sequence(F.lit(0), F.size("ends") - 1), lambda i: F.col("ends")[i]["known"])).alias("first"))
+    some = some.select(*KEY, "first", F.slice("ends", F.col("first") + 1, reach + 2).alias("ends"))  # each line between has a word
     blank = F.array_position(F.transform("ends", lambda x: x["n"] == 0), True).cast("int")
     some = some.withColumn("ends", F.when(blank > 0, F.slice("ends", 1, F.greatest(blank - 1, F.lit(0)))).otherwise(F.col("ends")))
     between = lambda j: F.slice("ends", 2, F.greatest(j - 1, F.lit(0)))
@@ -219,25 +228,26 @@ def wrapped(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
     steps = F.when(F.size("ends") > 1, F.filter(F.sequence(F.lit(1), F.greatest(F.size("ends") - 1, F.lit(1))), lambda j: F.col("ends")[j]["known"] & short(j)))
     some = some.withColumn("step", F.explode(steps))
     words = F.concat(F.col("ends")[0]["tail"], F.flatten(F.transform(between(F.col("step")), lambda x: x["head"])), F.col("ends")[F.col("step")]["head"])
-    runs = settle(some.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("first").cast("long").alias("first"), (F.col("first") + F.col("step")).cast("long").alias("last"), words.alias("words")))
-    return _judged(runs, ["row", "doc_id", "first", "last"], model).drop("row")
+    runs = settle(some.select(F.monotonically_increasing_id().alias("row"), *KEY, F.col("first").cast("long").alias("first"), (F.col("first") + F.col("step")).cast("long").alias("last"), words.alias("words")))
+    return _judged(runs, ["row", *KEY, "first", "last"], model).drop("row")
 
 
 def notices(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The confirmed notices: doc_id, pos (the first line's number), family, score.
+    """The confirmed notices: doc_id, text_hash, pos (the first line's number), family, score.
 
     A run counts if no line of it is confirmed for the same family; overlapping
     runs of a family are one notice.
     """
-    lines = settle(paragraphs(docs, model, doc_id, text).where("confirmed").groupBy("doc_id", "pos").agg(F.max("family").alias("family"), F.max("score").alias("score")))
-    runs = wrapped(docs, model, doc_id, text).where("confirmed").groupBy("doc_id", "first", "last", "family").agg(F.max("score").alias("score"))
-    own = lines.select(F.col("doc_id").alias("__id"), F.col("family").alias("__family"), "pos")
-    runs = runs.join(own, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("family") == F.col("__family")) & F.col("pos").between(F.col("first"), F.col("last")), "left_anti")
-    order = Window.partitionBy("doc_id", "family").orderBy("first", "last")
+    lines = settle(paragraphs(docs, model, doc_id, text).where("confirmed").groupBy(*KEY, "pos").agg(F.max("family").alias("family"), F.max("score").alias("score")))
+    runs = wrapped(docs, model, doc_id, text).where("confirmed").groupBy(*KEY, "first", "last", "family").agg(F.max("score").alias("score"))
+    own = lines.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("family").alias("__family"), "pos")
+    runs = runs.join(own, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")) & (F.col("family") == F.col("__family")) & F.col("pos").between(F.col("first"), F.col("last")), "left_anti")
+    order = Window.partitionBy(*KEY, "family").orderBy("first", "last")
     runs = runs.withColumn("before", F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1)))
     runs = runs.withColumn("notice", F.count_if(F.col("before").isNull() | (F.col("first") > F.col("before"))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = runs.groupBy("doc_id", "family", "notice").agg(F.min("first").alias("pos"), F.max("score").alias("score"))
-    return lines.select("doc_id", "pos", "family", "score").union(whole.select("doc_id", "pos", "family", "score"))
+    whole = runs.groupBy(*KEY, "family", "notice").agg(F.min("first").alias("pos"), F.max("score").alias("score"))
+    columns = [*KEY, "pos", "family", "score"]
+    return lines.select(*columns).union(whole.select(*columns))
 
 
 def _model_table(spark: SparkSession, model: Model) -> DataFrame:
@@ -247,9 +257,9 @@ def _model_table(spark: SparkSession, model: Model) -> DataFrame:
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: Model | None = None) -> DataFrame:
     """A row per document: doc_id, licenses (its confirmed families, by name, comma-separated), n_paragraphs (notices that name one), and the highest score."""
     model = model or train()
-    found = notices(docs, model, doc_id, text).groupBy(F.col("doc_id").alias("__id")).agg(
+    found = notices(docs, model, doc_id, text).groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(
         F.array_join(F.sort_array(F.collect_set("family")), ",").alias("licenses"), F.count(F.lit(1)).alias("n_paragraphs"), F.max("score").alias("score")
     )
-    ids = docs.select(F.col(doc_id).alias("doc_id"))
-    out = ids.join(found, ids["doc_id"].eqNullSafe(found["__id"]), "left")
+    ids = docs.select(*_key(doc_id, text))
+    out = ids.join(found, ids["doc_id"].eqNullSafe(found["__id"]) & (ids["text_hash"] == found["__hash"]), "left")
     return out.select("doc_id", F.coalesce("licenses", F.lit("")).alias("licenses"), F.coalesce("n_paragraphs", F.lit(0)).alias("n_paragraphs"), F.coalesce("score", F.lit(0.0)).alias("score"))

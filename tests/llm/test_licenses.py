@@ -59,7 +59,7 @@ def test_empty(spark, model):
 
 def test_planted_lines(spark, sf):
     sf = sf.replace("0.001", "0.01")
-    planted = {"gpl": "GNU General Public License, version 3", "cc-by-nc": "Licensed under CC BY-NC 4.0", "mit": "Released under the MIT License", "apache-2.0": "Licensed under the Apache License, Version 2.0"}
+    planted = {"gpl": "GNU General Public License, version 3", "cc-by-nc": "Licensed under CC BY-NC 4.0", "mit": "Released under the MIT License", "apache-2.0": "Licensed under the Apache License, Version 2.0", "proprietary": "All rights reserved."}
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     for r in op8_licenses(spark, sf).collect():
         assert r.licenses == ",".join(sorted(k for k, v in planted.items() if v in texts[r.doc_id]))
@@ -96,3 +96,27 @@ def test_wrapped_notices(spark, model):
     assert len(found) == len(rows)
     for r in found:
         assert (r.licenses, r.n_paragraphs) == (texts[r.doc_id][1:] if r.doc_id else ("", 0)), r
+
+
+def test_documents_are_judged_by_their_own_text(spark, model):
+    gpl = "This work is licensed under the GNU General Public License, version 3."
+    rows = [(1, "Released under the MIT License."), (1, "nothing here at all"), (None, gpl), (None, "plain words"), (None, "Licensed under CC BY-SA 4.0."), (2, "one\nAll rights reserved.\ntwo")]
+    found = licenses.scan(frame(spark, [(i, t, "en", "a", k) for k, (i, t) in enumerate(rows)]), model=model).collect()
+    got = sorted(((r.doc_id, r.licenses) for r in found), key=repr)
+    assert got == sorted([(1, "mit"), (1, ""), (None, "gpl"), (None, ""), (None, "cc-by-sa"), (2, "proprietary")], key=repr)
+
+
+def test_held_out_notices(model):
+    """Notices in other words than the templates', one for each line of a usual file head."""
+    held_out = {
+        "mit": ["This project is licensed under the MIT License", "Distributed under the MIT license.", "Code released under the MIT License (MIT)."],
+        "apache-2.0": ["Licensed to you under the Apache License, Version 2.0", "This code is released under the Apache License, Version 2.0.", "Apache License, Version 2.0, January 2004. Licensed under the Apache License"],
+        "gpl": ["This file is licensed under the GNU General Public License, version 2.", "Licensed under the GPL v2 or any later version.", "The code is licensed under the GNU General Public License version 3"],
+        "bsd": ["Released under the BSD 2-Clause License.", "The use of this source code is governed by a BSD-style license", "Redistribution and use in source and binary forms are permitted provided that the following conditions are met"],
+        "cc-by": ["This text is licensed under a Creative Commons Attribution 4.0 International License", "Content licensed under CC BY 4.0"],
+        "cc-by-sa": ["All text is available under the Creative Commons Attribution-ShareAlike License", "licensed under CC BY-SA 4.0, see below"],
+        "mpl-2.0": ["This file is subject to the terms of the Mozilla Public License, v. 2.0", "licensed under the MPL 2.0 license"],
+        "proprietary": ["Copyright 2020 Nobody. All rights reserved.", "This file is proprietary and confidential; copying of this file is strictly prohibited"],
+    }
+    judged = [(f, *model.judge(t)) for f, texts in held_out.items() for t in texts]
+    assert sum(f == g and c >= licenses.COVERED for f, g, _, c in judged) >= 0.9 * len(judged), judged
