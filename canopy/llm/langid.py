@@ -44,29 +44,36 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(sys.maxunicode + 1)), dtype=bool, count=sys.maxunicode + 1)
 
 
-def ngrams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams of a text as numbers, ascending, and how often each occurs.  An n-gram is its code points in 21 bits each."""
-    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
-    letter = _letters()[points]
-    if not letter.any():
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    row = np.empty(len(points) + 2, np.int64)
-    row[0] = row[-1] = BLANK
-    row[1:-1] = np.where(letter, points, BLANK)
-    keep = np.ones(len(row), dtype=bool)
-    keep[1:] = (row[1:] != BLANK) | (row[:-1] != BLANK)  # one blank between words
-    row = row[keep]
-    found: list[np.ndarray] = []
-    for a in range(0, len(row), PART):
-        x = row[a : a + PART + 2]
-        own = min(PART, len(x))
+def ngrams(text: str, part: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of a text as numbers, ascending, and how often each occurs.  An n-gram is its code points in 21 bits each.
+
+    ``part`` characters are worked on at a time, with the last two marks of the
+    row before them, and the counts of the parts are merged.
+    """
+    part = part or PART
+    codes, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+    tail, seen = np.full(1, BLANK, np.int64), False
+    for a in range(0, len(text) + 1, part):
+        last = a + part > len(text)
+        points = np.frombuffer(text[a : a + part].lower().encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+        letter = _letters()[points]
+        seen = seen or bool(letter.any())
+        row = np.concatenate([tail, np.where(letter, points, BLANK), np.full(int(last), BLANK, np.int64)])
+        keep = np.ones(len(row), dtype=bool)
+        keep[1:] = (row[1:] != BLANK) | (row[:-1] != BLANK)  # one blank between words
+        x = row[keep]
+        old = min(len(tail), len(x))  # marks that were counted by themselves
         two = (x[:-1] << 21) | x[1:]
         three = (two[:-1] << 21) | x[2:]
-        found.append(np.concatenate([x[:own][x[:own] != BLANK], two[:own], three[:own][x[1:-1][:own] != BLANK]]))
-        if len(found) > 1:
-            found = [np.concatenate(found)] if sum(map(len, found)) < 8 * PART else found
-    codes, counts = np.unique(found[0] if len(found) == 1 else np.concatenate(found), return_counts=True)
-    return codes, counts
+        fresh = [x[old:][x[old:] != BLANK], two[max(old - 1, 0) :], three[x[1:-1] != BLANK]]
+        own, n = np.unique(np.concatenate(fresh), return_counts=True)
+        if len(codes):
+            codes, at = np.unique(np.concatenate([codes, own]), return_inverse=True)
+            n = np.bincount(at, weights=np.concatenate([counts, n])).astype(np.int64)
+        else:
+            codes = own
+        counts, tail = n, x[-2:]
+    return (codes, counts) if seen else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
 def ranked(codes: np.ndarray, counts: np.ndarray, top: int = TOP) -> np.ndarray:

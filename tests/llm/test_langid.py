@@ -74,3 +74,16 @@ def test_sample_is_bounded(spark):
     df = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("ab").alias("text"), F.lit("en").alias("lang"))
     one = langid.learn(df, per_language=10)
     assert np.all(one.ranks >= 0) and one.names == ["en"]
+
+
+def test_memory_does_not_grow_with_the_text():
+    import tracemalloc
+
+    peaks = []
+    for n in (4_000_000, 16_000_000):
+        text = ("some words of no meaning, " * (n // 20))[:n]
+        tracemalloc.start()
+        langid.ngrams(text)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.1 * peaks[0] < 400e6
