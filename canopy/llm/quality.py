@@ -103,8 +103,36 @@ class ByteConv:
         yield from self.combine(total / np.maximum(count, 1)[:, None], most).round(6).tolist()  # sums differ in the last digits with the batch
 
 
+def gradients(net: ByteConv, data: np.ndarray, size: np.ndarray, y: np.ndarray, weigh: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """The mean weighted cross entropy of documents of ``size`` chunks each in ``data``, and its gradients, which pass through the windows that the maxima come from."""
+    start = np.concatenate([[0], np.cumsum(size)[:-1]])
+    flat = np.ascontiguousarray(net.windows(data))
+    act = (flat.reshape(-1, WIDTH * VECTOR) @ net.filters).reshape(flat.shape[0], flat.shape[1], FILTERS)
+    at = act.argmax(axis=1)
+    raw = np.take_along_axis(act, at[:, None, :], axis=1)[:, 0] + net.bias
+    pool = np.maximum(raw, 0)
+    mean, most = np.add.reduceat(pool, start) / size[:, None], np.maximum.reduceat(pool, start)
+    feature = np.concatenate([mean, most], axis=1)
+    p = net.combine(mean, most)
+    loss = -float((weigh * np.where(y == 1, np.log(p), np.log(1 - p))).mean())
+    dz = ((p - y) * weigh / len(y)).astype(net.weights.dtype)
+    grads = {"weights": feature.T @ dz + 1e-4 * net.weights, "offset": dz.sum(keepdims=True)}
+    df = dz[:, None] * net.weights
+    owner = np.repeat(np.arange(len(y)), size)
+    top = pool == most[owner]  # neighbouring chunks share bytes, so a maximum may be in two
+    dpool = (df[:, :FILTERS] / size[:, None])[owner] + np.where(top, (df[:, FILTERS:] / np.add.reduceat(top, start, dtype=np.int64))[owner], 0)
+    draw = np.where(raw > 0, dpool, 0).astype(net.weights.dtype)
+    grads["bias"] = draw.sum(axis=0)
+    picked = flat[np.arange(len(data))[:, None], at]  # chunk x filter x input
+    grads["filters"] = np.einsum("cf,cfi->if", draw, picked)
+    back = (draw[:, :, None] * net.filters.T[None]).reshape(-1, WIDTH, VECTOR)
+    where = data[np.arange(len(data))[:, None, None], at[:, :, None] * STRIDE + np.arange(WIDTH)].reshape(-1, WIDTH)
+    grads["vectors"] = np.stack([np.bincount(where.ravel(), weights=back[:, :, k].ravel(), minlength=256) for k in range(VECTOR)], axis=1).astype(net.vectors.dtype)
+    return loss, grads
+
+
 def train(texts: list[str | None], labels: list[int], rounds: int = 8, rate: float = 0.01, batch: int = 32, seed: int = 5) -> ByteConv:
-    """Adam on the cross entropy, the classes weighing the same.  Gradients pass through the windows that the maxima come from."""
+    """Adam on the cross entropy, the classes weighing the same."""
     y = np.array(labels, dtype=np.float64)
     rng = np.random.default_rng(seed)
     scale = 1 / np.sqrt(WIDTH * VECTOR)
@@ -126,31 +154,7 @@ def train(texts: list[str | None], labels: list[int], rounds: int = 8, rate: flo
             own = order[a : a + batch]
             data = np.concatenate([rows[i] for i in own])
             size = np.array([len(rows[i]) for i in own])
-            start = np.concatenate([[0], np.cumsum(size)[:-1]])
-            w = net.windows(data)
-            flat = np.ascontiguousarray(w)
-            act = (flat.reshape(-1, WIDTH * VECTOR) @ net.filters).reshape(w.shape[0], w.shape[1], FILTERS)
-            at = act.argmax(axis=1)
-            raw = np.take_along_axis(act, at[:, None, :], axis=1)[:, 0] + net.bias
-            pool = np.maximum(raw, 0)
-            mean, most = np.add.reduceat(pool, start) / size[:, None], np.maximum.reduceat(pool, start)
-            feature = np.concatenate([mean, most], axis=1)
-            p = 1 / (1 + np.exp(-np.clip(feature @ net.weights + params["offset"][0], -30, 30)))
-            dz = ((p - y[own]) * weigh[own] / len(own)).astype(np.float32)
-            grads = {"weights": feature.T @ dz + 1e-4 * net.weights, "offset": dz.sum(keepdims=True)}
-            df = dz[:, None] * net.weights
-            owner = np.repeat(np.arange(len(own)), size)
-            dpool = (df[:, :FILTERS] / size[:, None])[owner] + np.where(pool == most[owner], df[:, FILTERS:][owner], 0)
-            draw = np.where(raw > 0, dpool, 0).astype(np.float32)
-            grads["bias"] = draw.sum(axis=0)
-            picked = flat[np.arange(len(data))[:, None], at]  # chunk x filter x input
-            grads["filters"] = np.einsum("cf,cfi->if", draw, picked)
-            back = (draw[:, :, None] * net.filters.T[None]).reshape(-1, WIDTH, VECTOR)
-            where = data[np.arange(len(data))[:, None, None], at[:, :, None] * STRIDE + np.arange(WIDTH)].reshape(-1, WIDTH)
-            dv = np.zeros_like(net.vectors)
-            for k in range(VECTOR):
-                dv[:, k] = np.bincount(where.ravel(), weights=back[:, :, k].ravel(), minlength=256)
-            grads["vectors"] = dv
+            _, grads = gradients(net, data, size, y[own], weigh[own])
             step += 1
             pace = rate * min(1.0, 2 * (1 - step / (steps + 1)))
             for k, g in grads.items():

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from helpers import frame, odd_rows, prose
 from pyspark.sql import functions as F
 
@@ -74,3 +75,39 @@ def test_long_texts_are_learned_from(spark):
     (texts, labels), whole = seen[0], [t for _, t, _ in rows]
     assert labels == [q for *_, q in rows] and all(len(t) == 500 and t in w for t, w in zip(texts, whole, strict=True))
     assert sum(w.startswith(t) for t, w in zip(texts, whole, strict=True)) < 5
+
+
+def test_naive_convolution():
+    net = trained()
+    for text in (prose(7, 200), "short", ""):
+        data = text.encode()
+        pooled = []
+        for c in range(max(1, -(-max(0, len(data) - (quality.CHUNK - quality.HOP)) // quality.HOP))):
+            row = data[c * quality.HOP : c * quality.HOP + quality.CHUNK].ljust(quality.CHUNK, b"\0")
+            best = [0.0] * quality.FILTERS
+            for at in range(0, quality.CHUNK - quality.WIDTH + 1, quality.STRIDE):
+                window = np.concatenate([net.vectors[b] for b in row[at : at + quality.WIDTH]])
+                for k in range(quality.FILTERS):
+                    best[k] = max(best[k], float(window @ net.filters[:, k]) + float(net.bias[k]))
+            pooled.append(best)
+        z = np.concatenate([np.mean(pooled, axis=0), np.max(pooled, axis=0)]) @ net.weights + net.offset
+        assert next(iter(net.scores([text]))) == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-5)
+
+
+def test_numeric_gradients():
+    rng = np.random.default_rng(0)
+    net = quality.ByteConv(rng.normal(0, 0.5, (256, quality.VECTOR)), rng.normal(0, 0.2, (quality.WIDTH * quality.VECTOR, quality.FILTERS)), rng.normal(0, 0.1, quality.FILTERS), rng.normal(0, 0.3, 2 * quality.FILTERS), 0.1)
+    rows = [quality.chunks(prose(i, n)) for i, n in enumerate((30, 200, 90))]
+    data, size = np.concatenate(rows), np.array([len(r) for r in rows])
+    y, weigh = np.array([1.0, 0.0, 1.0]), np.array([0.75, 1.5, 0.75])
+    _, grads = quality.gradients(net, data, size, y, weigh)
+    used = int(data[0, 0])
+    for name, at in (("weights", 3), ("weights", 30), ("bias", 5), ("filters", (4, 2)), ("filters", (9, 11)), ("vectors", (used, 1)), ("vectors", (ord("t"), 2))):
+        values, step = getattr(net, name), 1e-6
+        old, ends = values[at], []
+        for sign in (1, -1):
+            values[at] = old + sign * step
+            ends.append(quality.gradients(net, data, size, y, weigh)[0])
+        values[at] = old
+        decay = 1e-4 * old if name == "weights" else 0
+        assert grads[name][at] == pytest.approx((ends[0] - ends[1]) / (2 * step) + decay, rel=1e-3, abs=1e-6), name
