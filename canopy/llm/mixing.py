@@ -7,8 +7,10 @@
    blocks are given to sources by highest quotient target / (2 a - 1).
 3. A source's documents fall into shards by a seeded hash, each of about
    ``shard_words`` words or ``shard_rows`` documents, whichever is less, so a
-   source with a third of all rows, empty or not, is spread over many tasks.  The source's blocks are given to its shards by the same rule,
-   which leaves an integer quota per shard.
+   source with a third of all rows, empty or not, is spread over many tasks.
+   The source's blocks are given by the same rule to groups of ``GROUP_SHARDS``
+   shards, and a group's to its shards, which leaves an integer quota per shard.
+   So no task holds all shards of a source; one task holds a row per source.
 4. In a shard the documents stand in seeded order and the quota takes the
    blocks in that order, in a second round once all are taken.  So documents
    are taken whole, once or twice, but for one at the end of a round.
@@ -26,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from canopy.llm.common import settle, small, words
+from canopy.llm.common import plain, plain_name, settle, small, words
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -34,6 +36,7 @@ MOST = 2
 BLOCK_WORDS = 16
 SHARD_WORDS = 1 << 19
 SHARD_ROWS = 1 << 14
+GROUP_SHARDS = 1 << 12
 SEED = 17
 
 _M = "__mix_"
@@ -88,7 +91,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
 
 def mix(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED, block_words: int = BLOCK_WORDS,
-    shard_words: int = SHARD_WORDS, shard_rows: int = SHARD_ROWS, weights=WEIGHTS, share: float = SHARE, most: int = MOST, carry: bool = False,
+    shard_words: int = SHARD_WORDS, shard_rows: int = SHARD_ROWS, group_shards: int = GROUP_SHARDS, weights=WEIGHTS, share: float = SHARE, most: int = MOST, carry: bool = False,
 ) -> DataFrame:
     """Per row of ``docs``: doc_id, size, source_size, target and taken, the words that the mix takes of it.
 
@@ -104,7 +107,10 @@ def mix(
 
     placed = bare.join(plan, bare["source"].eqNullSafe(plan["source"])).drop("source").withColumn("shard", shard(F.col("key"), F.col("shards")))
     cells = placed.groupBy("rank", "shard").agg(F.sum("size").alias("cell_size"), F.first("quota").alias("source_quota"), F.first("full").alias("full"))
-    cells = apportion(cells, ["rank"], "shard", "cell_size", "source_quota")
+    cells = cells.withColumn("group", F.floor(F.col("shard") / group_shards))
+    groups = cells.groupBy("rank", "group").agg(F.sum("cell_size").alias("group_size"), F.first("source_quota").alias("source_quota"))
+    groups = apportion(groups, ["rank"], "group", "group_size", "source_quota").select("rank", "group", F.col("quota").alias("group_quota"))
+    cells = apportion(cells.join(groups, ["rank", "group"]), ["rank", "group"], "shard", "cell_size", "group_quota")
     blocks = F.ceil(F.col("cell_size") / block_words)
     quota = F.when(F.col("full"), blocks * most).otherwise(F.least(F.col("quota"), blocks * most))
     rounds = F.array(*[F.least(F.greatest(quota - r * blocks, F.lit(0)), blocks) * block_words for r in range(most)])
@@ -129,14 +135,15 @@ def mix(
 
 def blend(docs: DataFrame, **named) -> DataFrame:
     """``docs`` as the mix has them: a document taken for at least half of its words in a round stays whole for that round, so it comes 0, 1 or 2 times."""
+    names, docs, named = docs.columns, plain(docs), {x: plain_name(docs, named.get(x, x)) for x in ("doc_id", "text", "source")} | {k: v for k, v in named.items() if k not in ("doc_id", "text", "source")}
     rows = mix(docs, carry=True, **named)
     times = F.floor(rows[_M]["taken"] / F.nullif(rows[_M]["size"], F.lit(0)) + 0.5).cast("int")
     rows = rows.withColumn(_M, F.coalesce(times, F.lit(0)))
-    return rows.where(F.col(_M) > 0).withColumn(_M, F.explode(F.array_repeat(F.lit(0), F.col(_M)))).drop(_M)
+    return rows.where(F.col(_M) > 0).withColumn(_M, F.explode(F.array_repeat(F.lit(0), F.col(_M)))).drop(_M).toDF(*names)
 
 
 def oracle(block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, shard_rows: int = SHARD_ROWS, seed: int = SEED) -> str:
-    """The same in DuckDB SQL, with a quotient for every block."""
+    """The same in DuckDB SQL, with a quotient for every block, for sources of up to ``GROUP_SHARDS`` shards."""
     return rf"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '') || ':{seed}') AS key FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS z, count(*) AS cnt, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM d GROUP BY source),

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm.common import words
+from canopy.llm.common import plain, plain_name, words
 
 WINDOW = 8
 
@@ -117,8 +117,9 @@ def clean(df: DataFrame, text: str = "text", thresholds=THRESHOLDS) -> DataFrame
     The filter also reads a column that isn't deterministic, which keeps the
     optimizer from pushing it below the metrics, where each would be made many times.
     """
+    names, text, df = df.columns, plain_name(df, text), plain(df)
     judged = measured(df, text).withColumns({_P + "kept": ~base_failed() & compile_rules(thresholds), _P + "here": F.spark_partition_id()})
-    return judged.where(F.col(_P + "kept") & (F.col(_P + "here") >= 0)).select(*[F.col(f"`{x}`") for x in df.columns])
+    return judged.where(F.col(_P + "kept") & (F.col(_P + "here") >= 0)).select(*df.columns).toDF(*names)
 
 
 def oracle(thresholds=THRESHOLDS) -> str:

@@ -130,3 +130,25 @@ def test_blend_follows_the_mix(spark):
 def test_plan_is_native(spark, sf):
     plan = op10_mixing(spark, sf)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_groups_of_shards(spark):
+    """Quotas go to groups of shards first; with one group it is plain apportionment."""
+    rows = [(i, prose(i, 20 + i % 60), "en", "hot" if i % 3 else f"s{i % 6}", 1) for i in range(500)]
+    df, names = frame(spark, rows), {r[0]: r[3] for r in rows}
+    for group in (1, 4, 1 << 12):
+        by, sizes = defaultdict(list), defaultdict(int)
+        for r in mixing.mix(df, shard_words=400, group_shards=group).collect():
+            by[names[r.doc_id]].append(r)
+            sizes[names[r.doc_id]] += r.size
+        check(by, sizes)
+    duckdb.register("documents", df.toPandas())
+    found = mixing.mix(df, shard_words=400)
+    assert rows_of(found) == sorted(duckdb.sql(mixing.oracle(shard_words=400)).project(", ".join(found.columns)).fetchall(), key=repr)
+    duckdb.unregister("documents")
+
+
+def test_clashing_prefix(spark):
+    df = frame(spark, odd_rows()).withColumnsRenamed({"n_chars": "__mix_size", "lang": "__mix_"})
+    out = mixing.blend(df)
+    assert out.columns == df.columns and out.count() > 0

@@ -2,7 +2,7 @@ import re
 from collections import Counter
 
 import duckdb
-from helpers import frame, odd_rows, rows_of
+from helpers import frame, odd_rows, prose, rows_of
 
 from canopy.llm import rules
 from canopy.llm.queries import op5_rules
@@ -55,3 +55,9 @@ def test_junk_goes_and_prose_stays(spark, sf):
     clean = [found[d] for d, q in labels.items() if q == 1 and not found[d].base_failed]
     junk = [found[d] for d, q in labels.items() if q == 0]
     assert all(r.kept for r in clean) and sum(not r.kept for r in junk) >= 0.9 * len(junk)
+
+
+def test_clashing_prefix(spark):
+    df = frame(spark, [(1, prose(1, 120), "en", "a", 5), (2, None, None, "a", 5)]).withColumnsRenamed({"n_chars": "__rules_words", "lang": "__rules_kept"})
+    out = rules.clean(df)
+    assert out.columns == df.columns and [r.doc_id for r in out.collect()] == [1]
