@@ -33,8 +33,10 @@ from canopy.llm.common import settle
 from canopy.session import ship_code
 
 TOKENIZER = "word_bpe_49k.json"
-#: Distinct words kept in a worker since it last put its table aside; as many again are in the table put aside.
-KEPT_WORDS = 400_000
+#: Bytes of distinct words and their ids kept in a worker since it last put its table aside; as much again is in the table put aside.
+KEPT_BYTES = 64 << 20
+#: What an entry of the table takes besides its characters and ids, and the most characters of a word that is kept.
+ENTRY_BYTES, KEPT_CHARS = 160, 64
 #: Characters encoded at a time; a longer text is cut at a space.
 PART = 1 << 20
 
@@ -77,14 +79,14 @@ def byte_letters() -> list[str]:
 class Encoder:
     """Ids of texts, without special tokens added."""
 
-    def __init__(self, path: str, kept_words: int = KEPT_WORDS):
+    def __init__(self, path: str, kept_bytes: int = KEPT_BYTES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             self.by_word = words_are_separate(json.load(f))
-        self.kept_words = kept_words
+        self.kept_bytes, self.held = kept_bytes, 0
         self.known: dict[str, bytes] = {}
         self.aside: dict[str, bytes] = {}
         self.marks = {m: self._ids([m])[0] for m in _MARKS}
@@ -100,11 +102,12 @@ class Encoder:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: set[str]) -> None:
-        """Encode unknown words.  A word of Latin letters and one mark is its letters and the mark, since the split pattern keeps letters apart from marks."""
+        """Encode unknown words of at most ``KEPT_CHARS`` characters.  A word of Latin letters and one mark is its letters and the mark, since the split pattern keeps letters apart from marks."""
         known, aside, marks = self.known, self.aside, self.marks
-        if len(known) + len(new) > self.kept_words:
-            self.aside, self.known = known, {}
+        if self.held > self.kept_bytes:
+            self.aside, self.known, self.held = known, {}, 0
             known, aside = self.known, known
+        before = len(known)
         todo: dict[str, None] = {}
         forms: list[tuple[str, str]] = []
         for w in new:
@@ -131,6 +134,8 @@ class Encoder:
         known.update(zip(names, self._ids(names), strict=True))
         for w, z in forms:
             known[w] = known[z]
+        # an id takes 4 bytes and has a character or more, a character at most 4 bytes
+        self.held += (len(known) - before) * ENTRY_BYTES + 8 * sum(map(len, new))
 
     def _joined(self, lists: list[list[str]]) -> list[bytes]:
         """The ids of each list of words: one look-up for each word, and one more for the few that were unknown."""
@@ -138,10 +143,12 @@ class Encoder:
         found = list(map(self.known.get, flat))
         holes = [i for i, x in enumerate(found) if x is None]
         if holes:
-            self._learn({flat[i] for i in holes})
+            long = {flat[i] for i in holes if len(flat[i]) > KEPT_CHARS}
+            self._learn({flat[i] for i in holes} - long)
             known = self.known
+            once = dict(zip(long, self._ids(list(long)), strict=True)) if long else {}
             for i in holes:
-                found[i] = known[flat[i]]
+                found[i] = known[flat[i]] if flat[i] not in once else once[flat[i]]
         ends = list(accumulate(map(len, lists)))
         return [b"".join(found[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
 

@@ -14,7 +14,7 @@ def direct(encoder, texts):
 
 def test_word_table_gives_the_same_ids(sf, spark, monkeypatch):
     texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()] + ODD
-    for kept in (500, 100_000):  # the small table is put aside many times
+    for kept in (100_000, 20_000_000):  # the small table is put aside many times
         own = tokens.Encoder(tokens.tokenizer_path(), kept)
         assert own.by_word
         assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == direct(own, texts)
@@ -64,3 +64,11 @@ def test_query(spark, sf):
     own = tokens.Encoder(tokens.tokenizer_path())
     lengths = [len(x) for x in direct(own, [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()])]
     assert {(r.n_tokens, r.n_docs) for r in op3_tokens(spark, sf).collect()} == {(n, lengths.count(n)) for n in lengths}
+
+
+def test_long_words_are_not_kept():
+    own = tokens.Encoder(tokens.tokenizer_path(), 50_000)
+    texts = [f"{'ab' * 3000}{i} short{i} Word{i}." for i in range(300)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == direct(own, texts)
+    assert max(len(w) for w in (*own.known, *own.aside)) <= tokens.KEPT_CHARS
+    assert own.held == 0 or len(own.known) * tokens.ENTRY_BYTES <= own.held
