@@ -14,11 +14,13 @@ bands meet in a bucket.  Pairs at a similarity of 0.8 share no bucket with
 probability (1 - 0.8^5)^30 = 7e-6, closer pairs more rarely.  Every candidate
 pair is checked exactly on the shingles' 64-bit hashes.
 
-A bucket is worked off in rounds: its first 1, 2, 4, ... texts are compared with
-all after them and leave it.  Texts that are already known to be connected
-aren't compared, so a bucket is done once what is left in it is connected: a
-group of n near copies makes a few pairs for each, not n squared.  All other
-pairs that share a bucket are compared.
+A bucket is worked off in rounds: its first 1, 2, 32, 512, ... texts are compared with
+all after them and leave it.  Not compared are texts that are already known to
+be connected, and those whose sizes, or whose shingles that no other text left
+has, rule a similarity of 0.8 out.  Texts with the fewest such shingles come
+first, which are the originals of edited copies.  So a group of n near copies,
+or n texts around a common passage, make a few pairs for each, not n squared.
+All other pairs that share a bucket are compared.
 
 Defined results: texts with equal words (case of A-Z aside) are one, as are all
 texts without words.  Of a group the row with the smallest id stays, null ids
@@ -129,11 +131,19 @@ def fingerprint_pairs(nodes: DataFrame, budget: int = simhash.BUDGET) -> DataFra
     return equal.union(met).distinct()
 
 
-def _labels(edges: DataFrame) -> DataFrame:
-    """(fp, label) for ends of edges (a < b): texts with one label are connected.  Not all that are connected have one label."""
-    both = edges.select("a", "b").union(edges.select(F.col("a"), F.col("a")))
-    own = both.groupBy(F.col("b").alias("fp")).agg(F.min("a").alias("up"))
-    return own.join(own.select(F.col("fp").alias("up"), F.col("up").alias("label")), "up").select("fp", "label")
+def _spread(labels: DataFrame, edges: DataFrame, steps: int = 3) -> DataFrame:
+    """(fp, label) for ends of edges: texts with one label are connected.
+
+    Labels go ``steps`` links far at a time, so not all that are connected have
+    one label yet; ``labels`` has what is known from fewer edges.
+    """
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    ends = both.select(F.col("a").alias("fp")).distinct()
+    labels = ends.join(labels, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"))
+    for _ in range(steps):
+        near = both.join(labels, F.col("b") == F.col("fp")).select(F.col("a").alias("fp"), "label")
+        labels = labels.union(near).groupBy("fp").agg(F.min("label").alias("label"))
+    return labels
 
 
 def groups(nodes: DataFrame, hashes_of: Callable[[DataFrame], DataFrame], least: float = SIMILAR) -> DataFrame:
@@ -147,24 +157,58 @@ def groups(nodes: DataFrame, hashes_of: Callable[[DataFrame], DataFrame], least:
     met = settle(met.join(shared, "key"))
     hashes = settle(hashes_of(met.select("fp").union(near.select("a")).union(near.select("b")).distinct()))
     edges = settle(_linked(near, hashes, least))
+    labels = settle(_spread(edges.select(F.col("a").alias("fp"), F.col("a").alias("label")).limit(0), edges))
+    met = met.withColumn("alone", F.lit(0).cast("long"))
     heads = 1
     while True:
-        told = met.join(_labels(edges), "fp", "left").select("key", "fp", "size", F.coalesce("label", "fp").alias("label"))
-        apart = told.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-        rest = settle(told.join(apart, "key"))
+        rest = settle(_apart(met.drop("label").join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))))
         if rest.isEmpty():
-            return simhash.components(edges)
-        if heads == 1:
-            first = rest.groupBy("key").agg(F.min(F.struct("fp", "size", "label")).alias("s")).select("key", "s.*")
-        else:
-            order = Window.partitionBy("key").orderBy("fp")
+            return _rooted(edges, labels)
+        if heads > 1:
+            rest = settle(_apart(_hopeful(rest, hashes, least)))
+        place = F.struct("alone", "fp")
+        order = Window.partitionBy("key").orderBy("alone", "fp")
+        first = rest.groupBy("key").agg(F.min_by(F.struct("fp", "size", "alone", "label"), place).alias("s")).select("key", "s.*")
+        if heads > 1:
             first = rest.withColumn("place", F.row_number().over(order)).where(F.col("place") <= heads).drop("place")
-        a = first.select("key", F.col("fp").alias("a"), F.col("size").alias("na"), F.col("label").alias("la"))
-        fits = F.least("na", "size") >= F.greatest("na", "size") * least  # else they can't be so similar
-        pairs = rest.join(a, "key").where("a < fp AND la <> label").where(fits).select("a", F.col("fp").alias("b")).distinct()
-        edges = settle(edges.union(_linked(pairs, hashes, least)).distinct())
-        met = rest.join(first.select("key", "fp"), ["key", "fp"], "left_anti").select("key", "fp", "size")
-        heads *= 2
+        a = first.select("key", *[F.col(x).alias("a_" + x) for x in ("fp", "size", "alone", "label")])
+        shared = F.least(F.col("a_size") - F.col("a_alone"), F.col("size") - F.col("alone"))
+        fits = shared / (F.col("a_size") + F.col("size") - shared) >= least  # else they can't be so similar
+        pairs = rest.join(a, "key").where(place > F.struct("a_alone", "a_fp")).where("a_label <> label").where(fits).select(F.col("a_fp").alias("a"), F.col("fp").alias("b")).distinct()
+        edges = edges.union(settle(_linked(pairs, hashes, least)))
+        labels = settle(_spread(labels, edges))
+        met = rest.join(first.select("key", "fp"), ["key", "fp"], "left_anti")
+        heads *= 2 if heads == 1 else 16
+
+
+def _rooted(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, root) for the ends of edges: what links connect has one root.  Only labels that links still join are left to connect."""
+    end = lambda side: labels.select(F.col("fp").alias(side), F.col("label").alias("l" + side))
+    joined = settle(edges.join(end("a"), "a").join(end("b"), "b").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
+    if joined.isEmpty():
+        return labels.select(F.col("fp").alias("node"), F.col("label").alias("root"))
+    roots = simhash.components(joined).select(F.col("node").alias("label"), "root")
+    return labels.join(roots, "label", "left").select(F.col("fp").alias("node"), F.coalesce("root", "label").alias("root"))
+
+
+def _apart(told: DataFrame) -> DataFrame:
+    """The rows of buckets in which not all have one label."""
+    keys = told.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+    return told.join(keys, "key")
+
+
+def _hopeful(rest: DataFrame, hashes: DataFrame, least: float) -> DataFrame:
+    """The rows that may still be linked to one of their bucket, with ``alone``: how many of a text's shingles no other text of ``rest`` has.
+
+    With c shared shingles of n, the similarity to a text of at least m is at
+    most c / (n + max(m, c) - c).
+    """
+    own = hashes.join(rest.select("fp").distinct(), "fp", "left_semi").select("fp", F.explode("hashes").alias("h"))
+    alone = own.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("fp")).where("n = 1").groupBy("fp").agg(F.count(F.lit(1)).alias("alone"))
+    rest = rest.drop("alone").join(alone, "fp", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
+    rest = rest.join(rest.groupBy("key").agg(F.min("size").alias("smallest")), "key")
+    shared = F.col("size") - F.col("alone")
+    return rest.where(shared / (F.col("size") + F.greatest("smallest", shared) - shared) >= least).drop("smallest")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILAR, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
