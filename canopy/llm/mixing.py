@@ -107,9 +107,9 @@ def mix(
 
     placed = bare.join(plan, bare["source"].eqNullSafe(plan["source"])).drop("source").withColumn("shard", shard(F.col("key"), F.col("shards")))
     cells = placed.groupBy("rank", "shard").agg(F.sum("size").alias("cell_size"), F.first("quota").alias("source_quota"), F.first("full").alias("full"))
-    cells = cells.withColumn("group", F.floor(F.col("shard") / group_shards))
+    cells = settle(cells).withColumn("group", F.floor(F.col("shard") / group_shards))
     groups = cells.groupBy("rank", "group").agg(F.sum("cell_size").alias("group_size"), F.first("source_quota").alias("source_quota"))
-    groups = apportion(groups, ["rank"], "group", "group_size", "source_quota").select("rank", "group", F.col("quota").alias("group_quota"))
+    groups = settle(apportion(groups, ["rank"], "group", "group_size", "source_quota").select("rank", "group", F.col("quota").alias("group_quota")))
     cells = apportion(cells.join(groups, ["rank", "group"]), ["rank", "group"], "shard", "cell_size", "group_quota")
     blocks = F.ceil(F.col("cell_size") / block_words)
     quota = F.when(F.col("full"), blocks * most).otherwise(F.least(F.col("quota"), blocks * most))

@@ -14,7 +14,7 @@ bands meet in a bucket.  Pairs at a similarity of 0.8 share no bucket with
 probability (1 - 0.8^5)^30 = 7e-6, closer pairs more rarely.  Every candidate
 pair is checked exactly on the shingles' 64-bit hashes.
 
-A bucket is worked off in rounds: its first 1, 2, 32, 512, ... texts are compared with
+A bucket is worked off in rounds: its first 1, 2, 64, 2048, ... texts are compared with
 all after them and leave it.  Not compared are texts that are already known to
 be connected, and those whose sizes, or whose shingles that no other text left
 has, rule a similarity of 0.8 out.  Texts with the fewest such shingles come
@@ -131,7 +131,7 @@ def fingerprint_pairs(nodes: DataFrame, budget: int = simhash.BUDGET) -> DataFra
     return equal.union(met).distinct()
 
 
-def _spread(labels: DataFrame, edges: DataFrame, steps: int = 3) -> DataFrame:
+def _spread(labels: DataFrame, edges: DataFrame, steps: int = 2) -> DataFrame:
     """(fp, label) for ends of edges: texts with one label are connected.
 
     Labels go ``steps`` links far at a time, so not all that are connected have
@@ -164,7 +164,7 @@ def groups(nodes: DataFrame, hashes_of: Callable[[DataFrame], DataFrame], least:
         rest = settle(_apart(met.drop("label").join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))))
         if rest.isEmpty():
             return _rooted(edges, labels)
-        if heads > 1:
+        if heads == 2:
             rest = settle(_apart(_hopeful(rest, hashes, least)))
         place = F.struct("alone", "fp")
         order = Window.partitionBy("key").orderBy("alone", "fp")
@@ -178,7 +178,7 @@ def groups(nodes: DataFrame, hashes_of: Callable[[DataFrame], DataFrame], least:
         edges = edges.union(settle(_linked(pairs, hashes, least)))
         labels = settle(_spread(labels, edges))
         met = rest.join(first.select("key", "fp"), ["key", "fp"], "left_anti")
-        heads *= 2 if heads == 1 else 16
+        heads *= 2 if heads == 1 else 32
 
 
 def _rooted(edges: DataFrame, labels: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ from canopy.session import ship_code
 
 TOKENIZER = "word_bpe_49k.json"
 #: Bytes of distinct words and their ids kept in a worker since it last put its table aside; as much again is in the table put aside.
-KEPT_BYTES = 64 << 20
+KEPT_BYTES = 48 << 20
 #: What an entry of the table takes besides its characters and ids, and the most characters of a word that is kept.
 ENTRY_BYTES, KEPT_CHARS = 160, 64
 #: Characters encoded at a time; a longer text is cut at a space.
