@@ -47,6 +47,8 @@ BANDS, ROWS = 30, 5
 SEED = 42
 #: Shingles hashed at a time, and texts given back at a time.
 PART, TEXTS = 2048, 128
+#: Small rows (keys, pairs, labels) in a partition.
+PART_ROWS = 50_000
 
 
 def shingles(text: str | None, shingle_words: int = SHINGLE_WORDS, seed: int = SEED) -> np.ndarray:
@@ -113,6 +115,12 @@ def sets(text: Column, shingle_words: int = SHINGLE_WORDS) -> Column:
     return of(text)
 
 
+def _compact(df: DataFrame) -> DataFrame:
+    """A settled table of small rows in a partition for each ``PART_ROWS``, so that a shuffle of few rows makes few files."""
+    df = settle(df)
+    return df.coalesce(max(1, -(-df.count() // PART_ROWS)))
+
+
 def _linked(pairs: DataFrame, hashes: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) that are near copies."""
     own = lambda side: hashes.select(F.col("fp").alias(side), F.col("hashes").alias("h" + side))
@@ -123,7 +131,7 @@ def _linked(pairs: DataFrame, hashes: DataFrame, least: float) -> DataFrame:
 
 def fingerprint_pairs(nodes: DataFrame, budget: int = simhash.BUDGET) -> DataFrame:
     """Pairs (a < b) of texts ``fp``, each with the first of those that have its SimHash fingerprint and the first of a linked one."""
-    first = settle(nodes.groupBy("sim").agg(F.min("fp").alias("first")))
+    first = _compact(nodes.groupBy("sim").agg(F.min("fp").alias("first")))
     equal = nodes.join(first, "sim").select(F.col("first").alias("a"), F.col("fp").alias("b")).where("a <> b")
     met = simhash.links(first.select(F.col("sim").alias("fp")), budget).groupBy("b").agg(F.min("a").alias("a"))
     end = lambda side: first.select(F.col("sim").alias(side), F.col("first").alias("f" + side))
@@ -151,21 +159,21 @@ def groups(nodes: DataFrame, hashes_of: Callable[[DataFrame], DataFrame], least:
 
     ``hashes_of`` gives the table (fp, hashes) for a table of ``fp``.
     """
-    near = settle(fingerprint_pairs(nodes))
+    near = _compact(fingerprint_pairs(nodes))
     met = nodes.select(F.explode("bands").alias("key"), "fp", "size")
     shared = met.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    met = settle(met.join(shared, "key"))
+    met = _compact(met.join(shared, "key"))
     hashes = settle(hashes_of(met.select("fp").union(near.select("a")).union(near.select("b")).distinct()))
-    edges = settle(_linked(near, hashes, least))
-    labels = settle(_spread(edges.select(F.col("a").alias("fp"), F.col("a").alias("label")).limit(0), edges))
+    edges = _compact(_linked(near, hashes, least))
+    labels = _compact(_spread(edges.select(F.col("a").alias("fp"), F.col("a").alias("label")).limit(0), edges))
     met = met.withColumn("alone", F.lit(0).cast("long"))
     heads = 1
     while True:
-        rest = settle(_apart(met.drop("label").join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))))
+        rest = _compact(_apart(met.drop("label").join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))))
         if rest.isEmpty():
             return _rooted(edges, labels)
         if heads == 2:
-            rest = settle(_apart(_hopeful(rest, hashes, least)))
+            rest = _compact(_apart(_hopeful(rest, hashes, least)))
         place = F.struct("alone", "fp")
         order = Window.partitionBy("key").orderBy("alone", "fp")
         first = rest.groupBy("key").agg(F.min_by(F.struct("fp", "size", "alone", "label"), place).alias("s")).select("key", "s.*")
@@ -175,8 +183,8 @@ def groups(nodes: DataFrame, hashes_of: Callable[[DataFrame], DataFrame], least:
         shared = F.least(F.col("a_size") - F.col("a_alone"), F.col("size") - F.col("alone"))
         fits = shared / (F.col("a_size") + F.col("size") - shared) >= least  # else they can't be so similar
         pairs = rest.join(a, "key").where(place > F.struct("a_alone", "a_fp")).where("a_label <> label").where(fits).select(F.col("a_fp").alias("a"), F.col("fp").alias("b")).distinct()
-        edges = edges.union(settle(_linked(pairs, hashes, least)))
-        labels = settle(_spread(labels, edges))
+        edges = edges.union(_compact(_linked(pairs, hashes, least)))
+        labels = _compact(_spread(labels, edges))
         met = rest.join(first.select("key", "fp"), ["key", "fp"], "left_anti")
         heads *= 2 if heads == 1 else 32
 
@@ -184,7 +192,7 @@ def groups(nodes: DataFrame, hashes_of: Callable[[DataFrame], DataFrame], least:
 def _rooted(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """(node, root) for the ends of edges: what links connect has one root.  Only labels that links still join are left to connect."""
     end = lambda side: labels.select(F.col("fp").alias(side), F.col("label").alias("l" + side))
-    joined = settle(edges.join(end("a"), "a").join(end("b"), "b").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
+    joined = _compact(edges.join(end("a"), "a").join(end("b"), "b").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
     if joined.isEmpty():
         return labels.select(F.col("fp").alias("node"), F.col("label").alias("root"))
     roots = simhash.components(joined).select(F.col("node").alias("label"), "root")
