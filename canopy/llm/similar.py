@@ -14,13 +14,14 @@ bands meet in a bucket.  Pairs at a similarity of 0.8 share no bucket with
 probability (1 - 0.8^5)^30 = 7e-6, closer pairs more rarely.  Every candidate
 pair is checked exactly on the shingles' 64-bit hashes.
 
-A bucket is worked off in rounds: its first 1, 2, 64, 2048, ... texts are compared with
-all after them and leave it.  Not compared are texts that are already known to
-be connected, and those whose sizes, or whose shingles that no other text left
-has, rule a similarity of 0.8 out.  Texts with the fewest such shingles come
-first, which are the originals of edited copies.  So a group of n near copies,
-or n texts around a common passage, make a few pairs for each, not n squared.
-All other pairs that share a bucket are compared.
+A bucket's first text is compared with all after it, then the first two of those
+left.  Not compared are texts that are already known to be connected, and those
+whose sizes, or whose shingles that no other text left has, rule a similarity
+of 0.8 out.  Texts with the fewest such shingles come first, which are the
+originals of edited copies.  What is left of the buckets is compared where a
+prefix filter (``prefix_pairs``) lets a pair pass, which loses no link.  So a
+group of n near copies, or n texts around a common passage, make a few pairs
+for each, not n squared.
 
 Defined results: texts with equal words (case of A-Z aside) are one, as are all
 texts without words.  Of a group the row with the smallest id stays, null ids
@@ -47,6 +48,8 @@ BANDS, ROWS = 30, 5
 SEED = 42
 #: Shingles hashed at a time, and texts given back at a time.
 PART, TEXTS = 2048, 128
+#: For rounding in bounds on counts.
+SLACK = 1e-6
 #: Small rows (keys, pairs, labels) in a partition.
 PART_ROWS = 50_000
 
@@ -167,8 +170,7 @@ def groups(nodes: DataFrame, hashes_of: Callable[[DataFrame], DataFrame], least:
     edges = _compact(_linked(near, hashes, least))
     labels = _compact(_spread(edges.select(F.col("a").alias("fp"), F.col("a").alias("label")).limit(0), edges))
     met = met.withColumn("alone", F.lit(0).cast("long"))
-    heads = 1
-    while True:
+    for heads in (1, 2):
         rest = _compact(_apart(met.drop("label").join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))))
         if rest.isEmpty():
             return _rooted(edges, labels)
@@ -186,7 +188,31 @@ def groups(nodes: DataFrame, hashes_of: Callable[[DataFrame], DataFrame], least:
         edges = edges.union(_compact(_linked(pairs, hashes, least)))
         labels = _compact(_spread(labels, edges))
         met = rest.join(first.select("key", "fp"), ["key", "fp"], "left_anti")
-        heads *= 2 if heads == 1 else 32
+    rest = _compact(_apart(met.drop("label").join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))))
+    if not rest.isEmpty():
+        edges = edges.union(_compact(_linked(prefix_pairs(rest.select("fp", "size", "label").distinct(), hashes, least), hashes, least)))
+        labels = _compact(_spread(labels, edges))
+    return _rooted(edges, labels)
+
+
+def prefix_pairs(texts: DataFrame, hashes: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """Pairs (a < b) of ``texts`` (fp, size, label) with unlike labels, among them all whose similarity is ``least`` or more.
+
+    Every text's shingles are put in one order, rare ones first.  If two sets
+    have c shingles in common, then with the first of these c or more are left
+    in either set, and c is least / (1 + least) of both sizes or more.  So they
+    meet at a shingle near the start of both, which a frequent one seldom is:
+    texts around a common passage have their own shingles before it.
+    """
+    own = hashes.join(texts, "fp").select("fp", "size", "label", F.explode("hashes").alias("h"))
+    often = own.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("x"), F.max("label").alias("y"))
+    own = own.join(often, "h").withColumn("place", F.row_number().over(Window.partitionBy("fp").orderBy("n", "h")))
+    own = own.withColumn("left", F.col("size") - F.col("place") + 1).where(F.col("left") >= least * F.col("size") - SLACK)
+    own = _compact(own.where("x <> y").select("h", "fp", "size", "label", "left"))  # a shingle of one label makes no pair
+    a, b = own.alias("a"), own.alias("b")
+    enough = F.least("a.left", "b.left") >= least / (1 + least) * (F.col("a.size") + F.col("b.size")) - SLACK
+    met = (F.col("a.h") == F.col("b.h")) & (F.col("a.fp") < F.col("b.fp")) & (F.col("a.label") != F.col("b.label"))
+    return a.join(b, met & enough).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct()
 
 
 def _rooted(edges: DataFrame, labels: DataFrame) -> DataFrame:

@@ -72,6 +72,24 @@ def test_rounds_of_large_buckets(spark):
     assert kept == {rows[i][0] for i in wanted(rows)} and len(kept) < len(rows)
 
 
+def test_prefix_pairs_against_all_pairs(spark):
+    """No pair at 0.8 or more is lost, exact bounds and sets of one shingle included, and a common passage makes no pairs."""
+    rng, own = random.Random(5), iter(range(1000, 10**6))
+    sets = [{1}, {1}, set(range(4)), set(range(5)), set(range(10)), {*range(8), 98, 99}, {*range(8)}]
+    for _ in range(30):
+        core = [next(own) for _ in range(rng.randint(5, 60))]
+        sets += [set(rng.sample(core, rng.randint(len(core) * 7 // 10, len(core)))) | {next(own) for _ in range(rng.randint(0, 4))} for _ in range(6)]
+    passages = [set(range(100, 160)) | {next(own) for _ in range(16)} for _ in range(30)]
+    labels = [i % 50 for i in range(len(sets))]
+    texts = spark.createDataFrame([(i, len(s), 500 + i if i >= len(sets) else labels[i]) for i, s in enumerate(sets + passages)], "fp long, size int, label long")
+    hashes = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets + passages)], "fp long, hashes array<long>")
+    pairs = {tuple(r) for r in similar.prefix_pairs(texts, hashes).collect()}
+    like = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and labels[i] != labels[j] and len(a & b) >= 0.8 * len(a | b)}
+    assert len(like) > 30
+    assert like <= pairs
+    assert not [p for p in pairs if max(p) >= len(sets)]
+
+
 def test_repeated_and_null_ids(spark):
     a, b, c = prose(1, 80), prose(2, 80), prose(3, 80)
     rows = [(3, a), (5, a), (5, b), (7, b), (9, c), (9, b + " extra"), (9, c), (None, prose(4, 80)), (None, prose(4, 80)), (None, prose(5, 80)), (None, a)]
