@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,11 +38,12 @@ def shape(triangles: DataFrame, vertices: DataFrame) -> DataFrame:
     return sums.join(closed, "mesh_id").select("mesh_id", "area", "watertight", F.when(F.col("watertight"), F.col("signed")).otherwise(0.0).alias("volume"))
 
 
-def shape_ratios(shapes: DataFrame) -> DataFrame:
-    """For each pair of meshes (mesh_a < mesh_b): the lesser over the greater area, and volume (0 if either is 0)."""
+def shape_ratios(shapes: DataFrame, by: Sequence[str]) -> DataFrame:
+    """For each pair of meshes (mesh_a < mesh_b) of a group of replicates: the lesser over the greater area, and volume (0 if either is 0)."""
     a, b = shapes.alias("a"), shapes.alias("b")
+    same = [F.col(f"a.{g}") == F.col(f"b.{g}") for g in by]
     over = lambda c: F.coalesce(F.try_divide(F.least(f"a.{c}", f"b.{c}"), F.greatest(f"a.{c}", f"b.{c}")), F.lit(0.0)).alias(f"{c}_ratio")
-    return a.join(b, F.col("a.mesh_id") < F.col("b.mesh_id")).select(F.col("a.mesh_id").alias("mesh_a"), F.col("b.mesh_id").alias("mesh_b"), over("area"), over("volume"))
+    return a.join(b, [*same, F.col("a.mesh_id") < F.col("b.mesh_id")]).select(F.col("a.mesh_id").alias("mesh_a"), F.col("b.mesh_id").alias("mesh_b"), over("area"), over("volume"))
 
 
 def triangle_clusters(triangles: DataFrame, vertices: DataFrame) -> DataFrame:

@@ -61,20 +61,19 @@ def label_clouds(spark, sf_dir):
     return p.where(~F.col("label").isin("c0")).groupBy("label").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(a), 6).alias(a) for a in "xyz"])
 
 
-@query("nn_labels", using("points") + """ SELECT a.pid, min_by(b.label, (d.d2, b.pid)) AS nearest_label, round(min(d.d2), 6) AS d2 FROM points a, points b,
-LATERAL (SELECT (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z) AS d2) d WHERE a.scan_id = 0 AND b.scan_id = 1 GROUP BY a.pid""")
+@query("nn_labels", using("points") + """ SELECT a.scan_id AS a, b.scan_id AS b, a.pid, min_by(b.label, (d.d2, b.pid)) AS nearest_label, round(min(d.d2), 6) AS d2 FROM points a, points b,
+LATERAL (SELECT (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z) AS d2) d WHERE a.scan_id < b.scan_id GROUP BY ALL""")
 def nn_labels(spark, sf_dir):
-    p = points(spark, sf_dir)
-    near = spatial.knn_join(p.where("scan_id = 0"), p.where("scan_id = 1"))
-    return near.select("pid", F.col("t_label").alias("nearest_label"), F.round("d2", 6).alias("d2"))
+    """The label of each point's nearest neighbour in every later scan."""
+    near = spatial.knn_join(*_paired(points(spark, sf_dir)), 1, ["a", "b"])
+    return near.select("a", "b", "pid", F.col("t_label").alias("nearest_label"), F.round("d2", 6).alias("d2"))
 
 
-@query("nn_labels_grid", using("points") + """ SELECT a.pid, round(min((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)), 6) AS d2 FROM points a, points b WHERE a.scan_id = 2 AND b.scan_id = 3 GROUP BY a.pid""")
+@query("nn_labels_grid", using("points") + """ SELECT a.scan_id AS a, b.scan_id AS b, a.pid, round(min((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)), 6) AS d2 FROM points a, points b WHERE a.scan_id < b.scan_id GROUP BY ALL""")
 def nn_labels_grid(spark, sf_dir):
     """The nearest neighbours by growing cells, as used where the target is large."""
-    p = points(spark, sf_dir)
-    near = spatial.knn_join(p.where("scan_id = 2"), p.where("scan_id = 3"), broadcast_points=0)
-    return near.select("pid", F.round("d2", 6).alias("d2"))
+    near = spatial.knn_join(*_paired(points(spark, sf_dir)), 1, ["a", "b"], broadcast_points=0)
+    return near.select("a", "b", "pid", F.round("d2", 6).alias("d2"))
 
 
 @query("knn_graph", using("points") + """, r AS (SELECT a.scan_id, a.pid AS p, b.pid AS q, (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z) AS d2 FROM points a JOIN points b ON a.scan_id = b.scan_id),
@@ -117,27 +116,25 @@ def registration_fitness(spark, sf_dir):
     return r.select("a", "b", F.round("fitness", 6).alias("fitness"), F.round("rmse", 6).alias("rmse"))
 
 
-@query("registration_by_label", using("points") + """, nn AS (SELECT a.label, a.pid, min((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) AS d2
-  FROM points a JOIN points b ON a.label = b.label WHERE a.scan_id = 0 AND b.scan_id = 1 GROUP BY ALL)
-SELECT label, round(count(*) FILTER (d2 <= 100) / count(*), 6) AS fitness, round(coalesce(sqrt(avg(d2) FILTER (d2 <= 100)), 0), 6) AS rmse FROM nn GROUP BY label""")
+@query("registration_by_label", using("points") + """, nn AS (SELECT a.scan_id AS a, b.scan_id AS b, a.label, a.pid, min((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) AS d2
+  FROM points a JOIN points b ON a.label = b.label WHERE a.scan_id < b.scan_id GROUP BY ALL)
+SELECT a, b, label, round(count(*) FILTER (d2 <= 100) / count(*), 6) AS fitness, round(coalesce(sqrt(avg(d2) FILTER (d2 <= 100)), 0), 6) AS rmse FROM nn GROUP BY ALL""")
 def registration_by_label(spark, sf_dir):
-    p = points(spark, sf_dir)
-    r = spatial.registration(p.where("scan_id = 0"), p.where("scan_id = 1").drop("scan_id"), 10.0, ["label"])
-    return r.select("label", F.round("fitness", 6).alias("fitness"), F.round("rmse", 6).alias("rmse"))
+    r = spatial.registration(*_paired(points(spark, sf_dir)), 10.0, ["a", "b", "label"])
+    return r.select("a", "b", "label", F.round("fitness", 6).alias("fitness"), F.round("rmse", 6).alias("rmse"))
 
 
-_DIRECTION = """SELECT a.label AS own, min_by(b.label, ((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z), b.pid)) AS other FROM {0} a, {1} b GROUP BY a.pid, a.label"""
+_DIRECTION = """SELECT least(a.scan_id, b.scan_id) AS a, greatest(a.scan_id, b.scan_id) AS b, a.label AS own, min_by(b.label, ((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z), b.pid)) AS other FROM points a, points b WHERE a.scan_id {0} b.scan_id GROUP BY a.scan_id, b.scan_id, a.pid, a.label"""
 
 
-@query("labelled_iou", using("points") + f""", g AS (SELECT * FROM points WHERE scan_id = 0), p AS (SELECT * FROM points WHERE scan_id = 1), l AS (SELECT DISTINCT label FROM g),
-t AS ({_DIRECTION.format('g', 'p')}), b AS ({_DIRECTION.format('p', 'g')}),
-ct AS (SELECT label, count(*) FILTER (own = label AND other = label) AS tp, count(*) FILTER (own = label AND other <> label) AS fp, count(*) FILTER (own <> label AND other = label) AS fn, count(*) FILTER (own <> label AND other <> label) AS tn FROM l, t GROUP BY label),
-cb AS (SELECT label, count(*) FILTER (own = label AND other = label) AS tp, count(*) FILTER (own = label AND other <> label) AS fp, count(*) FILTER (own <> label AND other = label) AS fn FROM l, b GROUP BY label)
-SELECT ct.label, ct.tp, ct.fn, ct.tn, ct.fp, round((ct.tp / nullif(ct.tp + ct.fp + ct.fn, 0) + cb.tp / nullif(cb.tp + cb.fp + cb.fn, 0)) / 2, 6) AS miou FROM ct JOIN cb ON ct.label = cb.label""")
+@query("labelled_iou", using("points") + f""", t AS ({_DIRECTION.format('<')}), b AS ({_DIRECTION.format('>')}), l AS (SELECT DISTINCT a, b, own AS label FROM t),
+ct AS (SELECT a, b, label, count(*) FILTER (own = label AND other = label) AS tp, count(*) FILTER (own = label AND other <> label) AS fp, count(*) FILTER (own <> label AND other = label) AS fn, count(*) FILTER (own <> label AND other <> label) AS tn FROM l JOIN t USING (a, b) GROUP BY a, b, label),
+cb AS (SELECT a, b, label, count(*) FILTER (own = label AND other = label) AS tp, count(*) FILTER (own = label AND other <> label) AS fp, count(*) FILTER (own <> label AND other = label) AS fn FROM l JOIN b USING (a, b) GROUP BY a, b, label)
+SELECT ct.a, ct.b, ct.label, ct.tp, ct.fn, ct.tn, ct.fp, round((ct.tp / nullif(ct.tp + ct.fp + ct.fn, 0) + cb.tp / nullif(cb.tp + cb.fp + cb.fn, 0)) / 2, 6) AS miou FROM ct JOIN cb ON ct.a = cb.a AND ct.b = cb.b AND ct.label = cb.label""")
 def labelled_iou(spark, sf_dir):
-    p = points(spark, sf_dir)
-    r = setmetrics.labelled_iou(p.where("scan_id = 0"), p.where("scan_id = 1"))
-    return r.select("label", "tp", "fn", "tn", "fp", F.round("miou", 6).alias("miou"))
+    """Agreement of labels for each pair of scans, the earlier as the truth."""
+    r = setmetrics.labelled_iou(*_paired(points(spark, sf_dir)), ["a", "b"])
+    return r.select("a", "b", "label", "tp", "fn", "tn", "fp", F.round("miou", 6).alias("miou"))
 
 
 @query("label_palette", using("points") + """, c(label, red, green, blue) AS (VALUES ('c0', 1.0, 0.0, 0.0), ('c1', 0.0, 1.0, 0.0), ('c2', 0.0, 0.0, 1.0))
@@ -156,11 +153,11 @@ def closest_values(spark, sf_dir):
     return r.select("label", F.round("before", 6).alias("before"), F.round("after", 6).alias("after"))
 
 
-@query("labelled_cloud_pairs", using("points") + """, s AS (SELECT * FROM points WHERE scan_id < 2), d AS (SELECT a.scan_id AS sa, b.scan_id AS sb, a.label AS own, min_by(b.label, ((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z), b.pid)) AS other
-  FROM s a, s b WHERE a.scan_id < b.scan_id GROUP BY a.scan_id, b.scan_id, a.pid, a.label)
+@query("labelled_cloud_pairs", using("points") + """, d AS (SELECT a.scan_id AS sa, b.scan_id AS sb, a.label AS own, min_by(b.label, ((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z), b.pid)) AS other
+  FROM points a, points b WHERE a.scan_id < b.scan_id GROUP BY a.scan_id, b.scan_id, a.pid, a.label)
 SELECT sa || ' - ' || sb AS pair, own AS label, count(*) AS n, count(*) FILTER (own = other) AS agree FROM d GROUP BY ALL""")
 def labelled_cloud_pairs(spark, sf_dir):
-    left, right = _paired(points(spark, sf_dir).where("scan_id < 2"))
+    left, right = _paired(points(spark, sf_dir))
     near = spatial.knn_join(left, right, 1, ["a", "b"])
     pair = pair_key(F.col("a").cast("string"), F.col("b").cast("string"))
     return near.groupBy(pair.alias("pair"), "label").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == F.col("t_label")).alias("agree"))
@@ -207,14 +204,14 @@ def root_distance_skeleton(spark, sf_dir):
     return out
 
 
-@query("nearest_organ_end", using("points") + """, d AS (SELECT a.label, b.pid, min_by(a.pid, ((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z), a.pid)) AS stem_pid, min((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) AS d2
-  FROM points a JOIN points b ON a.label = b.label WHERE a.scan_id = 2 AND b.scan_id = 3 GROUP BY a.label, b.pid)
-SELECT label, min_by(pid, (d2, pid)) AS base, min_by(stem_pid, (d2, pid)) AS stem_pid FROM d GROUP BY label""")
+@query("nearest_organ_end", using("points") + """, d AS (SELECT a.scan_id AS a, b.scan_id AS b, a.label, b.pid, min_by(a.pid, ((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z), a.pid)) AS stem_pid, min((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) AS d2
+  FROM points a JOIN points b ON a.label = b.label WHERE a.scan_id < b.scan_id GROUP BY a.scan_id, b.scan_id, a.label, b.pid)
+SELECT a, b, label, min_by(pid, (d2, pid)) AS base, min_by(stem_pid, (d2, pid)) AS stem_pid FROM d GROUP BY ALL""")
 def nearest_organ_end(spark, sf_dir):
-    """Per label, the organ point that is closest to the stem, and the stem's point."""
-    p = points(spark, sf_dir)
-    near = spatial.knn_join(p.where("scan_id = 3").drop("scan_id"), p.where("scan_id = 2").drop("scan_id"), 1, ["label"])
-    return near.groupBy("label").agg(F.min_by("pid", F.struct("d2", "pid")).alias("base"), F.min_by("t_pid", F.struct("d2", "pid")).alias("stem_pid"))
+    """Per pair of scans and label, the later scan's organ point that is closest to the earlier's stem, and the stem's point."""
+    stems, organs = _paired(points(spark, sf_dir))
+    near = spatial.knn_join(organs, stems, 1, ["a", "b", "label"])
+    return near.groupBy("a", "b", "label").agg(F.min_by("pid", F.struct("d2", "pid")).alias("base"), F.min_by("t_pid", F.struct("d2", "pid")).alias("stem_pid"))
 
 
 @query("scan_similarity", using("points") + """, f AS (SELECT scan_id, pid // 4 AS name, label FROM points)

@@ -45,10 +45,10 @@ def binary_masks(pixels: DataFrame, scan: str = "scan", on: Sequence[str] = ("ch
     return _long(files.groupBy(*keys).agg(F.avg("precision").alias("precision"), F.avg("recall").alias("recall")), *keys, ["precision", "recall"])
 
 
-def organ_counts(rows: DataFrame, scan: str = "scan_id") -> DataFrame:
-    """The difference in the number of organs."""
-    n = rows.groupBy(scan).agg(F.count(F.lit(1)).alias("n"))
-    pairs = repeat.replicate_pairs(n, scan).withColumn("organs", F.abs(F.col("a_n") - F.col("b_n")))
+def organ_counts(rows: DataFrame, scan: str = "scan_id", plant: str = "plant") -> DataFrame:
+    """The difference in the number of organs between the scans of each plant."""
+    n = rows.groupBy(plant, scan).agg(F.count(F.lit(1)).alias("n"))
+    pairs = repeat.replicate_pairs(n, scan, [plant]).withColumn("organs", F.abs(F.col("a_n") - F.col("b_n")))
     return _long(pairs, f"a_{scan}", f"b_{scan}", ["organs"])
 
 
@@ -76,16 +76,16 @@ c AS (SELECT x.sa || ' - ' || x.sb AS pair, x.d + y.d AS chamfer, x.fitness, x.r
 k AS (SELECT a.channel, a.shot_id % 4 AS sa, b.shot_id % 4 AS sb, a.shot_id // 4 AS file, count(*) FILTER (a.pred <> 0 AND b.pred <> 0) AS tp, count(*) FILTER (a.pred <> 0 AND b.pred = 0) AS fn, count(*) FILTER (a.pred = 0 AND b.pred <> 0) AS fp
   FROM label_masks a JOIN label_masks b ON a.channel = b.channel AND a.u = b.u AND a.v = b.v AND a.shot_id // 4 = b.shot_id // 4 AND a.shot_id % 4 < b.shot_id % 4 GROUP BY ALL),
 b AS (SELECT sa || ' - ' || sb AS pair, avg(tp / nullif(tp + fp, 0)) AS p, avg(tp / nullif(tp + fn, 0)) AS r FROM k GROUP BY ALL),
-o AS (SELECT scan_id, count(*) AS n FROM measures WHERE scan_id < 6 GROUP BY 1)"""
+o AS (SELECT scan_id // 6 AS plant, scan_id, count(*) AS n FROM measures GROUP BY ALL)"""
 
 
 @query("repeatability_report", using("points", "label_masks", "measures") + f""", {_PAIRS}
 SELECT task, pair, metric, round(value, 6) AS value FROM (
 SELECT 'PointCloud' AS task, pair, 'chamfer' AS metric, chamfer AS value FROM c UNION ALL SELECT 'PointCloud', pair, 'fitness', fitness FROM c UNION ALL SELECT 'PointCloud', pair, 'rmse', rmse FROM c
 UNION ALL SELECT 'Masks', pair, 'precision', p FROM b UNION ALL SELECT 'Masks', pair, 'recall', r FROM b
-UNION ALL SELECT 'AnglesAndInternodes', x.scan_id || ' - ' || y.scan_id, 'organs', abs(x.n - y.n) FROM o x JOIN o y ON x.scan_id < y.scan_id)""")
+UNION ALL SELECT 'AnglesAndInternodes', x.scan_id || ' - ' || y.scan_id, 'organs', abs(x.n - y.n) FROM o x JOIN o y ON x.plant = y.plant AND x.scan_id < y.scan_id)""")
 def repeatability_report(spark, sf_dir):
-    """All comparisons of replicates in one long table."""
+    """All comparisons of replicates in one long table; a plant has six scans of traits at most."""
     m = label_masks(spark, sf_dir).select("channel", "u", "v", F.floor(F.col("shot_id") / 4).alias("file"), (F.col("shot_id") % 4).alias("scan"), "pred")
-    tables = {"PointCloud": points(spark, sf_dir), "Masks": m, "AnglesAndInternodes": measures(spark, sf_dir).where("scan_id < 6")}
+    tables = {"PointCloud": points(spark, sf_dir), "Masks": m, "AnglesAndInternodes": measures(spark, sf_dir).withColumn("plant", F.floor(F.col("scan_id") / 6))}
     return report(tables).withColumn("value", F.round("value", 6))

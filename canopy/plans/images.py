@@ -108,6 +108,18 @@ def mask_confusion(spark, sf_dir):
     return f.select("channel", "shot_id", *setmetrics.COUNTS, *[F.round(c, 6).alias(c) for c in ("precision", "recall", "iou")])
 
 
+@query("mask_evaluation", using("label_masks") + """, d AS (SELECT a.channel, a.shot_id, a.u, a.v, any_value(a.gt) AS gt, coalesce(max(b.pred), 0) AS pred FROM label_masks a LEFT JOIN label_masks b
+ON a.shot_id = b.shot_id AND a.channel = b.channel AND abs(a.u - b.u) + abs(a.v - b.v) <= 1 AND b.pred > 0 GROUP BY a.channel, a.shot_id, a.u, a.v),
+f AS (SELECT channel, shot_id, count(*) FILTER (gt <> 0 AND pred <> 0) AS tp, count(*) FILTER (gt <> 0 AND pred = 0) AS fn, count(*) FILTER (gt = 0 AND pred = 0) AS tn, count(*) FILTER (gt = 0 AND pred <> 0) AS fp FROM d GROUP BY ALL)
+SELECT channel, shot_id, tp, fn, tn, fp, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall, round(tp / nullif(tp + fp + fn, 0), 6) AS iou FROM f""")
+def mask_evaluation(spark, sf_dir):
+    """Predicted masks, dilated once, against masks of the same shape."""
+    m = label_masks(spark, sf_dir)
+    truth, prediction = (m.select("channel", "shot_id", "u", "v", F.col(c).alias("value")) for c in ("gt", "pred"))
+    f = setmetrics.compare_masks(truth, prediction, ["channel", "shot_id"], 1)
+    return f.select("channel", "shot_id", *setmetrics.COUNTS, *[F.round(c, 6).alias(c) for c in ("precision", "recall", "iou")])
+
+
 @query("fileset_metrics", using("label_masks") + f""", {_FILES}, g AS (SELECT channel, sum(tp)::BIGINT AS tp, sum(fn)::BIGINT AS fn, sum(tn)::BIGINT AS tn, sum(fp)::BIGINT AS fp, avg(tp / nullif(tp + fp + fn, 0)) AS miou FROM f GROUP BY channel)
 SELECT channel, tp, fn, tn, fp, round(miou, 6) AS miou, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall FROM g""")
 def fileset_metrics(spark, sf_dir):

@@ -46,21 +46,22 @@ def located_filesets(spark, sf_dir):
     return located(_filesets(spark, sf_dir), ["Masks", "Voxels", "TriangleMesh"], ["plant"], "fileset", "scan")
 
 
-@query("missing_images", "SELECT c_custkey AS image FROM customer WHERE c_custkey % 3 = 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 20 = 0)")
+@query("missing_images", "SELECT o_orderkey AS image FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def missing_images(spark, sf_dir):
     """Images of a channel that haven't been copied yet."""
-    c = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("image"))
-    return c.join(table(spark, sf_dir, "orders").where("o_orderkey % 20 = 0").select(F.col("o_custkey").alias("image")), "image", "left_anti")
+    copied = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("image"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("image")).join(copied, "image", "left_anti")
 
 
-_CONFIG = "(SELECT c_mktsegment AS key, c_nationkey::VARCHAR AS value FROM customer WHERE c_custkey % 50 = {0})"
+_CONFIG = "(SELECT c_mktsegment || '.' || c_nationkey AS key, count(*)::VARCHAR AS value FROM customer WHERE c_custkey % 2 = {0} GROUP BY ALL)"
 
 
-@query("config_symdiff", f"WITH a AS (SELECT DISTINCT * FROM {_CONFIG.format(0)}), b AS (SELECT DISTINCT * FROM {_CONFIG.format(1)}) (SELECT * FROM a EXCEPT SELECT * FROM b) UNION (SELECT * FROM b EXCEPT SELECT * FROM a)")
+@query("config_symdiff", f"WITH a AS {_CONFIG.format(0)}, b AS {_CONFIG.format(1)} (SELECT * FROM a EXCEPT SELECT * FROM b) UNION (SELECT * FROM b EXCEPT SELECT * FROM a)")
 def config_symdiff(spark, sf_dir):
-    """Items of configurations that only one of two scans has."""
-    c = table(spark, sf_dir, "customer")
-    side = lambda k: c.where(F.col("c_custkey") % 50 == k).select(F.col("c_mktsegment").alias("key"), F.col("c_nationkey").cast("string").alias("value")).distinct()
+    """Items of configurations that only one of two scans has; every customer belongs to one of the two."""
+    key = F.concat_ws(".", "c_mktsegment", "c_nationkey").alias("key")
+    counts = table(spark, sf_dir, "customer").groupBy((F.col("c_custkey") % 2).alias("scan"), key).agg(F.count(F.lit(1)).cast("string").alias("value"))
+    side = lambda k: counts.where(F.col("scan") == k).select("key", "value")
     return repeat.symmetric_difference(side(0), side(1))
 
 

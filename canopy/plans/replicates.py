@@ -225,14 +225,15 @@ def root_distance(spark, sf_dir):
     )
 
 
-@query("skeleton_components", """WITH RECURSIVE e AS (SELECT l_orderkey % 400 AS a, 1000 + l_partkey % 900 AS b FROM lineitem WHERE l_linenumber = 7), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-r AS (SELECT a AS id, a AS seen FROM s UNION SELECT r.id, s.b FROM r JOIN s ON s.a = r.seen) SELECT id, min(seen) AS component FROM r GROUP BY id""")
+@query("skeleton_components", using("tree_edges").replace("WITH", "WITH RECURSIVE", 1) + """, t AS (SELECT tree_id, child AS id FROM tree_edges WHERE length > 25 UNION ALL SELECT DISTINCT tree_id, 1 FROM tree_edges),
+r AS (SELECT tree_id, id::BIGINT AS id, id::BIGINT AS component FROM t UNION ALL SELECT e.tree_id, e.child, r.component FROM r JOIN tree_edges e ON e.tree_id = r.tree_id AND e.parent = r.id WHERE e.length <= 25) SELECT tree_id, id, component FROM r""")
 def skeleton_components(spark, sf_dir):
+    """Components of every skeleton without its long edges.  A child's id is above its parent's, so SQL can follow each component from its top."""
     from canopy.operators.iterate import components
 
-    e = table(spark, sf_dir, "lineitem").where("l_linenumber = 7").select((F.col("l_orderkey") % 400).alias("src"), (1000 + F.col("l_partkey") % 900).alias("dst"))
-    nodes = e.select(F.col("src").alias("id")).union(e.select("dst"))
-    return components(nodes, e)
+    e = tree_edges(spark, sf_dir).withColumnsRenamed({"parent": "src", "child": "dst"})
+    nodes = e.select("tree_id", F.col("src").alias("id")).union(e.select("tree_id", "dst"))
+    return components(nodes, e.where("length <= 25"), ["tree_id"])
 
 
 @query("spanning_trees")
@@ -278,13 +279,12 @@ def mesh_area_volume(spark, sf_dir):
     return mesh.shape(t, v).select("mesh_id", F.round("area", 6).alias("area"), "watertight", F.round("volume", 6).alias("volume"))
 
 
-@query("mesh_ratios", """WITH m AS (SELECT p_partkey AS id, p_size * p_size * CASE WHEN p_partkey % 2 = 0 THEN 6 ELSE 5.5 END AS area, CASE WHEN p_partkey % 2 = 0 THEN p_size ^ 3 ELSE 0 END AS volume FROM part WHERE p_partkey <= 20)
-SELECT a.id AS mesh_a, b.id AS mesh_b, round(least(a.area, b.area) / greatest(a.area, b.area), 6)::DOUBLE AS area_ratio, round(coalesce(least(a.volume, b.volume) / nullif(greatest(a.volume, b.volume), 0), 0), 6)::DOUBLE AS volume_ratio FROM m a JOIN m b ON a.id < b.id""")
+@query("mesh_ratios", """WITH m AS (SELECT p_partkey AS id, p_size * p_size * CASE WHEN p_partkey % 2 = 0 THEN 6 ELSE 5.5 END AS area, CASE WHEN p_partkey % 2 = 0 THEN p_size ^ 3 ELSE 0 END AS volume FROM part)
+SELECT a.id AS mesh_a, b.id AS mesh_b, round(least(a.area, b.area) / greatest(a.area, b.area), 6)::DOUBLE AS area_ratio, round(coalesce(least(a.volume, b.volume) / nullif(greatest(a.volume, b.volume), 0), 0), 6)::DOUBLE AS volume_ratio FROM m a JOIN m b ON a.id // 8 = b.id // 8 AND a.id < b.id""")
 def mesh_ratios(spark, sf_dir):
-    """Area and volume ratios between the replicates of one object (the first twenty meshes)."""
-    t, v = _cubes(spark, sf_dir)
-    s = mesh.shape(t.where("mesh_id <= 20"), v.where("mesh_id <= 20"))
-    return mesh.shape_ratios(s).select("mesh_a", "mesh_b", F.round("area_ratio", 6).alias("area_ratio"), F.round("volume_ratio", 6).alias("volume_ratio"))
+    """Area and volume ratios between the replicates of one object; an object has eight at most."""
+    s = mesh.shape(*_cubes(spark, sf_dir)).withColumn("object", F.floor(F.col("mesh_id") / 8))
+    return mesh.shape_ratios(s, ["object"]).select("mesh_a", "mesh_b", F.round("area_ratio", 6).alias("area_ratio"), F.round("volume_ratio", 6).alias("volume_ratio"))
 
 
 @query("mesh_clusters", "SELECT p_partkey AS mesh_id, 0 AS cluster, CASE WHEN p_partkey % 2 = 0 THEN 12 ELSE 11 END::BIGINT AS n, round(p_size * p_size * CASE WHEN p_partkey % 2 = 0 THEN 6 ELSE 5.5 END, 6)::DOUBLE AS area FROM part")

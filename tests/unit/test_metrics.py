@@ -41,6 +41,23 @@ def test_dilated_prediction(spark):
     assert (r.tp, r.fn, r.tn, r.fp, r.precision, r.recall, r.iou) == (4, 0, 0, 4, 0.5, 1, 0.5)
 
 
+def test_compared_masks(spark):
+    side = lambda c, **w: pixels(spark, LEFT, CENTRE, **w).select("channel", "shot_id", "u", "v", F.col(c).alias("value"))
+    keys = ["channel", "shot_id"]
+    count = lambda r: (r.tp, r.fn, r.tn, r.fp)
+    assert count(setmetrics.compare_masks(side("gt"), side("pred"), keys).first()) == (2, 2, 2, 2)
+    assert count(setmetrics.compare_masks(side("gt"), side("pred"), keys, 1).first()) == (4, 0, 0, 4)
+    for other in (side("pred").where("u < 3"), side("pred").union(side("pred", shot=1))):
+        with pytest.raises(ValueError, match="different shapes"):
+            setmetrics.compare_masks(side("gt"), other, keys)
+
+
+def test_labelled_clouds_by_group(spark):
+    cloud = lambda labels: spark.createDataFrame([(g, i, float(i), 0.0, 0.0, c) for g, row in enumerate(labels) for i, c in enumerate(row)], "g long, pid long, x double, y double, z double, label string")
+    found = {(r.g, r.label): (r.tp, r.fp, r.fn, r.tn, r.miou) for r in setmetrics.labelled_iou(cloud(["1122", "12"]), cloud(["1112", "12"]), ["g"]).collect()}
+    assert found == {(0, "1"): (2, 0, 1, 1, pytest.approx(2 / 3)), (0, "2"): (1, 1, 0, 2, 0.5), (1, "1"): (1, 0, 0, 1, 1), (1, "2"): (1, 0, 0, 1, 1)}
+
+
 def test_missing_file(spark):
     a, b = pixels(spark, LEFT, LEFT, 0), pixels(spark, LEFT, LEFT, 1)
     keys = a.select("channel", "shot_id").distinct()
