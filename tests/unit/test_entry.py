@@ -13,6 +13,6 @@ def test_flagship(spark):
 
 
 def test_optional_part(monkeypatch):
-    monkeypatch.setattr(entry, "_HAS_CORPUS", False)
-    monkeypatch.setattr(entry, "_HAS_PIPELINE", False)
+    monkeypatch.setattr(entry, "_corpus", None)
+    monkeypatch.setattr(entry, "_pipeline", None)
     assert not [n for n in entry.queries() if n.startswith("op") and n[2].isdigit()] and "pipeline" not in entry.queries()
