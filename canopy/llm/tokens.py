@@ -44,7 +44,13 @@ PART = 1 << 20
 _ODD = re.compile("[\x1c-\x1f]")
 #: Marks that stand alone after a word of letters.
 _MARKS = ".,;:!?"
+#: A word of Latin letters, and such letters with a run of ASCII marks after them.
 _LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+").fullmatch
+_MARKED = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@[-`{-~]*)").fullmatch
+#: Marks that may join what stands before them.
+_BOUND = re.compile(r"[!,.:;?](?=[ \n])(?<![a-z0-9\sÀ-ÖØ-öø-įı-ɏ].)")
+#: Marks that may form one character with a letter before them, which an upper-case letter may not have.
+_COMBINING = re.compile("[\u0300-\u036f]")
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -85,11 +91,12 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            self.by_word = words_are_separate(json.load(f))
+            spec = json.load(f)
+        self.by_word = words_are_separate(spec)
+        self.added = [x["content"].lower() for x in spec.get("added_tokens", [])]
         self.kept_bytes, self.held = kept_bytes, 0
         self.known: dict[str, bytes] = {}
         self.aside: dict[str, bytes] = {}
-        self.marks = {m: self._ids([m])[0] for m in _MARKS}
         self.model = self.tokenizer.model
         self.bytes = dict(enumerate(byte_letters()))
 
@@ -102,53 +109,74 @@ class Encoder:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: set[str]) -> None:
-        """Encode unknown words of at most ``KEPT_CHARS`` characters.  A word of Latin letters and one mark is its letters and the mark, since the split pattern keeps letters apart from marks."""
-        known, aside, marks = self.known, self.aside, self.marks
+        """Encode unknown words of at most ``KEPT_CHARS`` characters.  A word of Latin letters and a run of marks is its letters and the run, since the split pattern keeps letters apart from marks."""
+        known, aside = self.known, self.aside
         if self.held > self.kept_bytes:
             self.aside, self.known, self.held = known, {}, 0
             known, aside = self.known, known
         before = len(known)
-        todo: dict[str, None] = {}
-        forms: list[tuple[str, str]] = []
+        todo: list[str] = []
         for w in new:
             ids = aside.get(w)
             if ids is not None:
                 known[w] = ids
                 continue
-            z = w.lower() if w.isascii() else w
-            mark = marks.get(z[-1], b"")
-            stem = z[:-1] if mark else z
-            if _LATIN(stem):
-                stem = stem.lower()
-                ids = known.get(stem)
-                if ids is None:
-                    ids = aside.get(stem)
-                if ids is None and _LATIN(stem):
-                    ids = known[stem] = self._letters(stem)
-                if ids is not None:
+            form = _MARKED(w)
+            if form:
+                stem, run = form.groups()
+                low = stem.lower()
+                if low == w:
+                    known[w] = self._letters(w)
+                    continue
+                if _LATIN(low):  # not so for İ, whose lower case has a mark
+                    mark = known.get(run) if run else b""
+                    if mark is None:
+                        mark = known[run] = self._ids([run])[0]
+                    ids = known.get(low)
+                    if ids is None:
+                        ids = aside.get(low)
+                    if ids is None:
+                        ids = known[low] = self._letters(low)
                     known[w] = ids + mark
                     continue
-            todo[z] = None
-            forms.append((w, z))
-        names = list(todo)
-        known.update(zip(names, self._ids(names), strict=True))
-        for w, z in forms:
-            known[w] = known[z]
+            todo.append(w)
+        known.update(zip(todo, self._ids(todo), strict=True))
         # an id takes 4 bytes and has a character or more, a character at most 4 bytes
         self.held += (len(known) - before) * ENTRY_BYTES + 8 * sum(map(len, new))
 
+    def _words(self, text: str) -> list[str]:
+        """The words of a text, with as few forms as may be: A-Z in lower case, and a mark after a letter or digit as a word of its own.
+
+        The tokenizer does the same with both, but for added tokens, for letters
+        that a combining mark follows and for marks in a run; such texts are left as they are.
+        """
+        if text.isascii():
+            low = text.lower()
+        elif _COMBINING.search(text):
+            return text.split()
+        else:
+            low = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")  # bytes: A-Z only
+        if any(x in low for x in self.added):
+            return text.split()
+        if not _BOUND.search(low):
+            for m in _MARKS:
+                if m in low:
+                    low = low.replace(m + " ", f" {m} ").replace(m + "\n", f" {m}\n")
+        return low.split()
+
     def _joined(self, lists: list[list[str]]) -> list[bytes]:
         """The ids of each list of words: one look-up for each word, and one more for the few that were unknown."""
         flat = list(chain.from_iterable(lists))
         found = list(map(self.known.get, flat))
         holes = [i for i, x in enumerate(found) if x is None]
         if holes:
-            long = {flat[i] for i in holes if len(flat[i]) > KEPT_CHARS}
-            self._learn({flat[i] for i in holes} - long)
-            known = self.known
-            once = dict(zip(long, self._ids(list(long)), strict=True)) if long else {}
+            new = {flat[i] for i in holes}
+            long = [w for w in new if len(w) > KEPT_CHARS]
+            self._learn(new.difference(long))
+            known, once = self.known, dict(zip(long, self._ids(long), strict=True)) if long else {}
             for i in holes:
-                found[i] = known[flat[i]] if flat[i] not in once else once[flat[i]]
+                w = flat[i]
+                found[i] = known[w] if w not in once else once[w]
         ends = list(accumulate(map(len, lists)))
         return [b"".join(found[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
 
@@ -165,9 +193,9 @@ class Encoder:
             elif len(text) > PART:
                 yield from self._joined(waiting) if waiting else ()
                 waiting, size = [], 0
-                yield b"".join(self._joined([part.split()])[0] for part in parts(text))
+                yield b"".join(self._joined([self._words(part)])[0] for part in parts(text))
             else:
-                waiting.append(text.split())
+                waiting.append(self._words(text))
                 size += len(text)
                 if size >= PART:
                     yield from self._joined(waiting)

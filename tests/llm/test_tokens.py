@@ -72,3 +72,19 @@ def test_long_words_are_not_kept():
     assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == direct(own, texts)
     assert max(len(w) for w in (*own.known, *own.aside)) <= tokens.KEPT_CHARS
     assert own.held == 0 or len(own.known) * tokens.ENTRY_BYTES <= own.held
+
+
+def test_forms_of_a_word_are_one_entry():
+    own = tokens.Encoder(tokens.tokenizer_path())
+    texts = ["Zorbelin zorbelin ZORBELIN zorbelin. Zorbelin, zorbelin!\nzorbelin? zorbelin; zorbelin: zorbelin", "É.\né, É"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == direct(own, texts)
+    assert sum("zorbelin" in w.lower() for w in own.known) == 1
+
+
+def test_marks_and_case_that_are_not_the_words_own():
+    """Added tokens in upper case, marks in a run, combining marks after A-Z, letters whose lower case has a mark."""
+    texts = ["<|ENDOFTEXT|> a. <|endoftext|>. b", 'x... y." z!! (w). 3. 3, _. . ', "T\u0308 t\u0308. A\u030a. K\u0331 k\u0331, ", "i\u0307 \u0130. \u0130, a\u0130!\n\u1e9e. \u01c5. ", "Zorb!!! zorb!!! zorb#%& ZORB#%&."]
+    for a in range(len(texts)):
+        own = tokens.Encoder(tokens.tokenizer_path())
+        some = texts[a:] + texts[:a]
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(some)] == direct(own, some)
