@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.operators.graph import Adjacency, adjacency, hops
+from canopy.operators.graph import Adjacency, adjacency, hops, per_group
 from canopy.session import ship_code
 
 
@@ -59,78 +60,95 @@ def fruit_paths(g: Adjacency, at: dict[int, np.ndarray], fruit: set[int], start:
     return [within(at, p, most) for p in parts if len(p) > 1 and length(p) >= least]
 
 
-def tree_directions(nodes: pd.DataFrame, edges: pd.DataFrame, most: float = 10.0, least: float = 10.0) -> pd.DataFrame:
+class Node(NamedTuple):
+    """A node of a labelled tree."""
+
+    id: int
+    x: float
+    y: float
+    z: float
+    labels: str | None
+    fruit_id: int | None
+    main_stem_id: int | None
+
+
+def _parts(nodes: Sequence[Node]) -> tuple[dict[int, np.ndarray], list[int], list[Node], dict[int | None, list[int]]]:
+    """Places of nodes, the stem in order, the branching points in order, and the nodes of each fruit by id."""
+    at = {n.id: np.array([n.x, n.y, n.z]) for n in nodes}
+    stem = [n.id for n in sorted((n for n in nodes if n.main_stem_id is not None), key=lambda n: n.main_stem_id)]
+    branching = sorted((n for n in nodes if "node" in (n.labels or "") and n.fruit_id is not None), key=lambda n: n.fruit_id)
+    fruits: dict[int | None, list[int]] = {}
+    for n in sorted(nodes):
+        if "fruit" in (n.labels or ""):
+            fruits.setdefault(n.fruit_id, []).append(n.id)
+    return at, stem, branching, fruits
+
+
+def tree_directions(nodes: Sequence[Node], edges: Sequence[tuple[int, int]], most: float = 10.0, least: float = 10.0) -> list[tuple]:
     """For each fruit part: organ, its direction f, the stem's direction s, and the branching point b on the stem's line."""
-    at = {int(r.id): np.array([r.x, r.y, r.z]) for r in nodes.itertuples()}
-    g = adjacency(list(zip(edges["src"], edges["dst"], [1.0] * len(edges), strict=True)))
-    stem = [int(n) for n in nodes[nodes["main_stem_id"].notna()].sort_values("main_stem_id")["id"]]
-    is_node = nodes["labels"].str.contains("node", na=False)
-    branching = nodes[is_node & nodes["fruit_id"].notna()].sort_values("fruit_id")
-    is_fruit = nodes["labels"].str.contains("fruit", na=False)
-    rows: list[list[float]] = []
-    for b in branching.itertuples():
-        start = int(b.id)
-        k = stem.index(start)
+    at, stem, branching, fruits = _parts(nodes)
+    g = adjacency([(a, b, 1.0) for a, b in edges])
+    place = {n: k for k, n in enumerate(stem)}
+    rows: list[tuple] = []
+    for b in branching:
+        paths = fruit_paths(g, at, set(fruits.get(b.fruit_id, ())), b.id, most, least)
+        if not paths:
+            continue
+        k = place[b.id]
         before = within(at, stem[:k][::-1], most)[::-1]
-        near = [*before, start, *within(at, stem[k:], most)]  # the branching point counts twice
-        points = np.array([at[n] for n in near])
-        if len(np.unique(points, axis=0)) < 2:
+        points = np.array([at[n] for n in [*before, b.id, *within(at, stem[k:], most)]])  # the branching point counts twice
+        if (points == points[0]).all():
             continue
         line = main_direction(points)
         flat = on_line(points, line, points.mean(axis=0))
-        foot = on_line(at[start], line, flat.mean(axis=0))
+        foot = on_line(at[b.id], line, flat.mean(axis=0))
         s = towards(flat[-1] - foot, main_direction(flat, foot))
-        fruit = {int(n) for n in nodes[is_fruit & (nodes["fruit_id"] == b.fruit_id)]["id"]}
-        for path in fruit_paths(g, at, fruit, start, most, least):
+        for path in paths:
             p = np.array([at[n] for n in path])
-            rows.append([len(rows), *towards(p[-1] - foot, main_direction(p, foot)), *s, *foot])
-    return pd.DataFrame(rows, columns=["organ", *[f"{a}{x}" for a in "fsb" for x in "xyz"]])
+            rows.append((len(rows), *towards(p[-1] - foot, main_direction(p, foot)).tolist(), *s.tolist(), *foot.tolist()))
+    return rows
 
 
-def plane_directions(nodes: pd.DataFrame, edges: pd.DataFrame, n_fruit: int = 5, n_stem: int = 5) -> pd.DataFrame:
-    """The older way, from numbers of nodes: organ and stem directions within the plane fitted to the first ``n_fruit`` nodes of the fruit and ``n_stem // 2`` stem nodes on either side.
+def plane_directions(nodes: Sequence[Node], n_fruit: int = 5, n_stem: int = 5) -> list[tuple]:
+    """The older way, from numbers of nodes: organ and stem directions within the plane fitted to the first ``n_fruit`` nodes of the fruit, by id, and ``n_stem // 2`` stem nodes on either side.
 
     The organ's direction leads from the branching point to the fruit's mean;
     the stem's is what is left of the plane's second axis, towards the next
     branching point.  The last branching point only serves as the next one.
     """
-    at = {int(r.id): np.array([r.x, r.y, r.z]) for r in nodes.itertuples()}
-    stem = [int(n) for n in nodes[nodes["main_stem_id"].notna()].sort_values("main_stem_id")["id"]]
-    has = lambda label: nodes[nodes["labels"].str.contains(label, na=False) & nodes["fruit_id"].notna()]
-    order, fruits = has("node").sort_values("fruit_id"), has("fruit")
-    starts = [int(i) for i in order["id"]]
-    rows: list[list[float]] = []
-    for (start, fruit_id), after in zip(zip(starts, order["fruit_id"], strict=True), starts[1:], strict=False):
-        own = np.array([at[int(i)] for i in fruits[fruits["fruit_id"] == fruit_id]["id"]])
+    at, stem, branching, fruits = _parts(nodes)
+    place = {n: k for k, n in enumerate(stem)}
+    rows: list[tuple] = []
+    for b, after in zip(branching, branching[1:], strict=False):
+        own = np.array([at[i] for i in fruits.get(b.fruit_id, ())])
         if len(own) < 2:
             continue
-        k, half = stem.index(start), n_stem // 2
+        k, half = place[b.id], n_stem // 2
         plane = np.vstack([own[:n_fruit], *[at[i][None] for i in stem[max(0, k - half) : k + half]]])
         u, v = np.linalg.svd(plane - plane.mean(axis=0), full_matrices=False)[2][:2]
-        lean = own.mean(axis=0) - at[start]
+        lean = own.mean(axis=0) - at[b.id]
         f = (lean @ u) * u + (lean @ v) * v
         size = np.linalg.norm(f)
         if not size:
             continue
         f = f / size
-        s = towards(at[after] - at[start], v - (v @ f) * f)
-        rows.append([len(rows), *f, *s, *at[start]])
-    return pd.DataFrame(rows, columns=["organ", *[f"{a}{x}" for a in "fsb" for x in "xyz"]])
+        s = towards(at[after.id] - at[b.id], v - (v @ f) * f)
+        rows.append((len(rows), *f.tolist(), *s.tolist(), *at[b.id].tolist()))
+    return rows
 
 
 def directions(nodes: DataFrame, edges: DataFrame, by: Sequence[str], most: float = 10.0, least: float = 10.0, planes: bool = False) -> DataFrame:
     """``tree_directions`` of every labelled tree (or ``plane_directions``): nodes (by, id, x, y, z, labels, fruit_id, main_stem_id) and edges (by, src, dst)."""
-    names, kinds = list(by), dict(nodes.dtypes)
-    ship_code(nodes.sparkSession)
+    n = nodes.select(*by, F.lit(True).alias("is_node"), *[F.col(c).cast("long") for c in ("id", "fruit_id", "main_stem_id")], *[F.col(c).cast("double") for c in "xyz"], "labels")
+    e = edges.select(*by, F.lit(False).alias("is_node"), F.col("src").cast("long").alias("id"), F.col("dst").cast("long").alias("fruit_id"))
 
-    def run(key, n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        out = plane_directions(n, e) if planes else tree_directions(n, e, most, least)
-        for name, k in reversed(list(zip(names, key, strict=True))):
-            out.insert(0, name, k)
-        return out
+    def solve(is_node, ids, fruit_ids, stem_ids, x, y, z, labels):
+        own = [Node(*r) for k, *r in zip(is_node, ids, x, y, z, labels, fruit_ids, stem_ids, strict=True) if k]
+        ends = [(a, b) for k, a, b in zip(is_node, ids, fruit_ids, strict=True) if not k]
+        return plane_directions(own) if planes else tree_directions(own, ends, most, least)
 
-    schema = ", ".join([f"{n} {kinds[n]}" for n in names] + ["organ long"] + [f"{a}{x} double" for a in "fsb" for x in "xyz"])
-    return nodes.groupBy(*names).cogroup(edges.groupBy(*names)).applyInPandas(run, schema)
+    schema = ", ".join(["organ long"] + [f"{a}{x} double" for a in "fsb" for x in "xyz"])
+    return per_group(n.unionByName(e, allowMissingColumns=True), by, solve, schema)
 
 
 def stem_skeleton(points: np.ndarray, axis: int, step: float, k: int = 300, inverted: bool = False) -> np.ndarray:

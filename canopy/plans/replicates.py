@@ -217,12 +217,7 @@ def edge_lengths(spark, sf_dir):
 UNION ALL SELECT e.tree_id, e.child, hops + 1, path + length FROM r JOIN tree_edges e ON e.tree_id = r.tree_id AND e.parent = r.id) SELECT tree_id, id, hops, round(path, 6) AS path FROM r""")
 def root_distance(spark, sf_dir):
     """Hops and path length of every node from its tree's root."""
-    edges = tree_edges(spark, sf_dir)
-    return spark.sql(
-        """WITH RECURSIVE r(tree_id, id, hops, path) MAX RECURSION LEVEL 200 AS (SELECT DISTINCT tree_id, 1L, 0L, 0D FROM {e}
-        UNION ALL SELECT e.tree_id, e.child, hops + 1, path + length FROM r JOIN {e} e ON e.tree_id = r.tree_id AND e.parent = r.id) SELECT tree_id, id, hops, round(path, 6) AS path FROM r""",
-        e=edges,
-    )
+    return graph.root_paths(_skeleton(spark, sf_dir), ["graph"], root=1).select(F.col("graph").alias("tree_id"), "id", "hops", F.round("path", 6).alias("path"))
 
 
 @query("skeleton_components", using("tree_edges").replace("WITH", "WITH RECURSIVE", 1) + """, t AS (SELECT tree_id, child AS id FROM tree_edges WHERE length > 25 UNION ALL SELECT DISTINCT tree_id, 1 FROM tree_edges),
