@@ -57,8 +57,8 @@ def test_directions_of_batches_of_trees(spark):
     n = spark.createDataFrame([(g, i, float(x), float(y), float(z)) for g in range(4) for i, x, y, z in nodes], "g long, id long, x double, y double, z double")
     e = spark.createDataFrame([(g, a, b) for g in range(4) for a, b in edges], "g long, src long, dst long")
     labelled = n.join(graph.tree_graphs(graph.weighted(n, e, ["g"]), ["g"], 0), ["g", "id"])
-    found = traits.directions(labelled, e, ["g"], 10.0, 5.0)
-    assert "FlatMapCoGroups" not in plan(found)  # as for one graph's rows above
+    found = traits.directions(labelled, e, ["g"], 20.0, 5.0)
+    assert "FlatMapCoGroups" not in plan(found)
     rows = {(r.g, r.organ): (r.fx, r.fy, r.sz) for r in found.collect()}
     assert len(rows) == 8
     for g in range(4):
