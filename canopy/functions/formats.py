@@ -14,15 +14,22 @@ def byte_size(n: Column, units: tuple[str, ...] = OCTETS) -> Column:
     """A size with its unit, to two decimals by steps of 1024; zero is ``0`` and the base unit.
 
     Comparisons choose the unit: a logarithm may fall just below a whole number.
+    Large numbers are written out, without an exponent below 1e15.
     """
     out = F.concat(F.lit("0"), F.lit(units[0]))
-    form = lambda i: F.concat(F.round(n / F.lit(float(1024**i)), 2).cast("string"), F.lit(" "), F.lit(units[i]))
+    form = lambda i: F.concat(plain_number(F.round(n / F.lit(float(1024**i)), 2)), F.lit(" "), F.lit(units[i]))
     chosen = F.when(n == 0, out)
     for i in range(len(units) - 1, 0, -1):
         chosen = chosen.when(n >= F.lit(float(1024**i)), form(i))
     return chosen.otherwise(form(0))
 
 
+def plain_number(x: Column) -> Column:
+    """A number of two decimals at most as text, with one decimal at least; Spark's own cast turns to exponents at 1e7."""
+    long = F.regexp_replace(x.cast("decimal(20, 2)").cast("string"), "0$", "")
+    return F.when((F.abs(x) >= 1e7) & (F.abs(x) < 1e15), long).otherwise(x.cast("string"))
+
+
 def pair_key(a: Column, b: Column) -> Column:
     return F.concat_ws(" - ", a, b)
 
