@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopy.functions.vectors import distance, vec
@@ -38,10 +38,37 @@ def pose_errors(reference: DataFrame, predicted: DataFrame, on: Sequence[str]) -
     return p.withColumns({"error": distance(vec("x", "y", "z"), vec("rx", "ry", "rz")), "error_xy": flat, "error_z": F.abs(F.col("z") - F.col("rz"))})
 
 
+def fused(a: Column, b: Column, c: Column) -> Column:
+    """a * b + c rounded once: the product and the sum with their errors (Dekker, Knuth), for numbers far from the limits."""
+    split = lambda v: 134217729.0 * v - (134217729.0 * v - v)  # noqa: E731  the upper 26 bits
+    ah, bh = split(a), split(b)
+    p = a * b
+    low = ((ah * bh - p) + ah * (b - bh) + (a - ah) * bh) + (a - ah) * (b - bh)
+    s = p + c
+    z = s - p
+    return s + (((p - (s - z)) + (c - z)) + low)
+
+
+def quantiles(df: DataFrame, value: str, by: Sequence[str], shares: dict[str, float]) -> DataFrame:
+    """``df`` with a column for each share: the group's interpolated quantile, lo * (1 - d) + hi * d with the first product and the sum rounded once, as DuckDB does.  Nulls don't count."""
+    every = Window.partitionBy(*by)
+    ranked = df.withColumns({"__n": F.count(value).over(every), "__rank": F.row_number().over(every.orderBy(F.col(value).asc_nulls_last())) - 1})
+    ends = {}
+    for name, share in shares.items():
+        at = (F.col("__n") - 1) * share
+        for end, place in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            ends[f"__{name}_{end}"] = F.max(F.when(F.col("__rank") == place, F.col(value))).over(every)
+    found = ranked.withColumns(ends)
+    for name, share in shares.items():
+        at, lo, hi = (F.col("__n") - 1) * share, F.col(f"__{name}_lo"), F.col(f"__{name}_hi")
+        d = at - F.floor(at)
+        found = found.withColumn(name, F.when(d == 0, lo).otherwise(fused(lo, 1.0 - d, hi * d)))
+    return found.drop("__n", "__rank", *ends)
+
+
 def upper_fliers(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """Rows over the third quartile by more than one and a half times the range of quartiles; quartiles are interpolated."""
-    q = df.groupBy(*by).agg(F.percentile(value, F.lit(0.25)).alias("q1"), F.percentile(value, F.lit(0.75)).alias("q3"))
-    out = df.join(q, list(by)) if by else df.join(F.broadcast(q))
+    out = quantiles(df, value, by, {"q1": 0.25, "q3": 0.75})
     return out.where(F.col(value) > F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
 
 
