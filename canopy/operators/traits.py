@@ -15,7 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.operators.graph import Adjacency, adjacency, hops, per_group
+from canopy.operators.graph import Adjacency, adjacency, hops
+from canopy.operators.groups import per_group
 from canopy.session import ship_code
 
 
