@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from canopy.catalog import query
 from canopy.functions.formats import pair_key
 from canopy.operators import alignment, fits, graph, mesh, repeat, sequences
+from canopy.operators.groups import busy_partitions
 from canopy.plans.bindings import measures, poses, table, tree_edges, using
 
 # --- poses
@@ -183,7 +184,7 @@ def sequence_alignment(spark, sf_dir):
     m = measures(spark, sf_dir).groupBy("scan_id").agg(F.sort_array(F.collect_list(F.struct("pos", "angle", "internode"))).alias("s"))
     m = m.select("scan_id", F.transform("s", lambda x: F.struct(x["angle"].alias("angle"), x["internode"].alias("internode"))).alias("a"))
     b = m.select((F.col("scan_id") - 1).alias("scan_id"), F.col("a").alias("b"))
-    return alignment.align(m.join(b, "scan_id").repartition(F.col("scan_id")), ["scan_id"], free_ends=0.2)
+    return alignment.align(m.join(b, "scan_id").repartition(busy_partitions(spark), "scan_id"), ["scan_id"], free_ends=0.2)
 
 
 @query("pose_circles")
